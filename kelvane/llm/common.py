@@ -56,6 +56,20 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
+class Sent:
+    """An object of bounded size broadcast to executors, with its class, so workers need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        from pyspark import cloudpickle
+
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        import pickle
+
+        return pickle.loads(self._bytes.value)
+
+
 def put_file(uri: str, write) -> int:
     """Write a file whole or not at all: write(stream) fills a temporary name, then it is renamed.
 

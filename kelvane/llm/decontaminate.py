@@ -31,7 +31,7 @@ from math import ceil, log
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_batches, stored
+from .common import Sent, sized_batches, stored
 
 K1, B, THRESHOLD, OVERLAP, BLOCK, PART_BYTES = 1.2, 0.75, 0.6, 0.5, 16, 8_000_000
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -211,12 +211,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     out = None
     for p in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()  # about part_bytes
-        sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
+        sent = Sent(spark, Index([(r["item_id"], r["text"]) for r in mine]))
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            index = sent.value
+            index = sent.get()
             memory = Terms(index)
             for b in batches:
                 hits = search(b.column("text").to_pylist(), index, memory, overlap)

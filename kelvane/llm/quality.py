@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_batches
+from .common import Sent, sized_batches
 
 FIT, WIDTH, RANK, NEAR, POWER, CUT, SEED = 1500, 4096, 96, 21, 8, 0.7, 7
 
@@ -135,14 +135,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, th (the text's hash) and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     sized_batches(spark, 500)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     def run(batches):
         import pyarrow as pa
 
+        model = sent.get()
         for b in batches:
             texts = b.column("text").to_pylist()
-            score = [s for k in range(0, len(texts), 250) for s in sent.value.score(term_counts(texts[k : k + 250])).tolist()]
+            score = [s for k in range(0, len(texts), 250) for s in model.score(term_counts(texts[k : k + 250])).tolist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(score, pa.float64())], names=["doc_id", "th", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
@@ -152,15 +153,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """Rows of docs that score at least cut."""
     sized_batches(docs.sparkSession, 500)
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    sent = Sent(docs.sparkSession, learn(docs, labels))
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
+        model = sent.get()
         for b in batches:
             texts = b.column(place).cast(pa.string()).to_pylist()
-            keep = [s >= cut for k in range(0, len(texts), 250) for s in model.value.score(term_counts(texts[k : k + 250])).tolist()]
+            keep = [s >= cut for k in range(0, len(texts), 250) for s in model.score(term_counts(texts[k : k + 250])).tolist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
