@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .base import ORACLE, QUERIES
+
+
+def _load() -> None:
+    from . import multimodel, relational, writes  # noqa: F401  registers
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return ORACLE
