@@ -70,6 +70,17 @@ class Sent:
         return pickle.loads(self._bytes.value)
 
 
+def worker_cache(key: str, make):
+    """What make() returns, kept for later tasks of the same Python worker. Functions travel by value, so a module's own names don't last."""
+    import sys
+    from types import ModuleType
+
+    held = sys.modules.setdefault("_kelvane_worker_cache", ModuleType("_kelvane_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def put_file(uri: str, write) -> int:
     """Write a file whole or not at all: write(stream) fills a temporary name, then it is renamed.
 

@@ -30,7 +30,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, new_path, put_file, sized_batches, stored
+from .common import file_system, new_path, put_file, sized_batches, stored, worker_cache
 
 MAGIC, BLOCK, END_ID = b"S8BTOK01", 256, 1
 #: Ids in a word, by selector; 0 marks the escape.
@@ -40,56 +40,64 @@ COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 def encode(ids):
     """(words, offsets): uint64 words of the ids, and where each block of BLOCK ids starts among them.
 
-    All blocks advance together, a word at a time, so the work is array operations.
+    The widest selector from every place comes from sliding maxima; then all blocks follow
+    their chain of words together, and all words of one selector are packed together.
     """
     import numpy as np
 
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    padded = np.zeros((blocks, BLOCK + 60), np.uint64)  # what lies behind a block fits any width
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    if ids.dtype != np.uint64 or not len(ids) or int(ids.max()) < 1 << 32:
+        ids = ids.astype(np.uint32)
+    size = blocks * BLOCK + 64
+    flat = np.zeros(size, ids.dtype)
     flat[:n] = ids
-    padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    sizes = np.full(blocks, BLOCK, np.int64)
-    sizes[-1] = n - (blocks - 1) * BLOCK
-    width = np.zeros(padded.shape, np.uint8)
-    for bits in sorted({60 // c for c in COUNTS[1:]}):
-        width[padded >= np.uint64(1) << np.uint64(bits)] += 1
-    # the number of widths too small for each id; fits[w] says how many ids from here on need at most width w
-    ladder = sorted({60 // c for c in COUNTS[1:]})
-    choice = np.zeros(padded.shape, np.uint8)  # selector from each place, 0: escape
+    # most[c]: the largest of the c ids from a place on, out of two shorter ones
+    most, choice = {1: flat}, np.zeros(size, np.uint8)
     for s in range(14, 0, -1):
-        rank = ladder.index(60 // COUNTS[s])
-        ok = np.cumsum(width[:, ::-1] > rank, axis=1, dtype=np.int32)[:, ::-1]
-        ahead = np.zeros_like(ok)
         c = COUNTS[s]
-        ahead[:, : ok.shape[1] - c] = ok[:, c:]
-        choice[ok - ahead == 0] = s
-    at, rows, out, counts = np.zeros(blocks, np.int64), np.arange(blocks), [], np.zeros(blocks, np.int64)
-    lengths = np.array(COUNTS)
-    while len(rows):
-        here = at[rows]
-        s = choice[rows, here]
-        word = s.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(s):
+        if c > 1:
+            a = max(k for k in most if k < c)
+            b = min(k for k in most if k >= c - a)
+            most[c] = most[a].copy()
+            np.maximum(most[a][: size - (c - b)], most[b][c - b :], out=most[c][: size - (c - b)])
+        fits = most[c] < (1 << (60 // c)) if 60 // c < flat.dtype.itemsize * 8 else np.ones(size, bool)
+        if not fits.any():
+            break
+        choice[fits] = s
+    lengths = np.array((1, *COUNTS[1:]))
+    ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
+    begins = np.zeros(size, bool)
+    at = np.arange(blocks) * BLOCK
+    limit = ends
+    while len(at):
+        begins[at] = True
+        at = at + lengths[choice[at]]
+        on = at < limit
+        at, limit = at[on], limit[on]
+    starts = np.flatnonzero(begins)
+    chosen = choice[starts]
+    place = np.arange(len(starts))
+    escaped = chosen == 0
+    if escaped.any():
+        place = place + np.cumsum(escaped) - escaped
+    words = np.empty(len(starts) + int(escaped.sum()), np.uint64)
+    for k in range(15):
+        some = np.flatnonzero(chosen == k)
+        if len(some):
+            first = starts[some]
+            word = np.full(len(some), k << 60, np.uint64)
             if k:
-                some, c = np.flatnonzero(s == k), COUNTS[k]
-                part = padded[rows[some][:, None], here[some][:, None] + np.arange(c)]
-                word[some] |= np.bitwise_or.reduce(part << (np.arange(c) * (60 // c)).astype(np.uint64), axis=1)
-        out.append((rows, counts[rows].copy(), word))
-        counts[rows] += 1
-        if len(escaped := np.flatnonzero(s == 0)):
-            r = rows[escaped]
-            out.append((r, counts[r].copy(), padded[r, here[escaped]]))
-            counts[r] += 1
-        at[rows] += np.where(s == 0, 1, lengths[s])
-        rows = rows[at[rows] < sizes[rows]]
-    offsets = np.r_[0, np.cumsum(counts)[:-1]]
-    words = np.empty(int(counts.sum()), np.uint64)
-    for r, place, word in out:
-        words[offsets[r] + place] = word
+                stop = ends[first // BLOCK]
+                for j in range(COUNTS[k]):
+                    inside = first + j < stop
+                    word |= (flat[first + j].astype(np.uint64) * inside) << np.uint64(j * (60 // COUNTS[k]))
+            else:
+                words[place[some] + 1] = flat[first]
+            words[place[some]] = word
+    offsets = place[np.searchsorted(starts, np.arange(blocks) * BLOCK)]
     return words, offsets.astype(np.uint64)
 
 
@@ -114,51 +122,156 @@ def decode(words, offsets, n: int):
     place -= place[begins][block]
     limit = np.minimum(BLOCK, n - np.arange(len(begins)) * BLOCK)[block]
     mask = (np.uint64(1) << np.uint64(60)) - np.uint64(1)
+    first = block * BLOCK + place
+    stop = block * BLOCK + limit
     for k in range(1, 15):
         some = np.flatnonzero((s == k) & ~raw)
         if len(some):
-            c = COUNTS[k]
-            bits = 60 // c
-            each = ((words[some] & mask)[:, None] >> (np.arange(c) * bits).astype(np.uint64)) & ((np.uint64(1) << np.uint64(bits)) - np.uint64(1))
-            to = place[some][:, None] + np.arange(c)
-            keep = to < limit[some][:, None]
-            out[(block[some][:, None] * BLOCK + to)[keep]] = each[keep]
+            bits, word, to, end = 60 // COUNTS[k], words[some] & mask, first[some], stop[some]
+            low = np.uint64((1 << bits) - 1)
+            short = bool((to + COUNTS[k] > end).any())
+            for j in range(COUNTS[k]):
+                if short:
+                    inside = to + j < end
+                    out[to[inside] + j] = word[inside] & low
+                else:
+                    out[to + j] = word & low
+                word >>= np.uint64(bits)
     some = np.flatnonzero((s == 0) & ~raw)
     out[block[some] * BLOCK + place[some]] = words[some + 1] if len(some) else 0
     return out
 
 
 class Chunks:
-    """Token ids of white-space-free chunks, remembered up to a bound: the vocabulary drops white space, so a text's ids are its chunks' ids."""
+    """Token ids of white-space-free chunks: the vocabulary drops white space, so a text's ids are its chunks' ids.
+
+    Ids are kept as packed integers, in two generations of at most `bound` chunks: what is
+    used moves to the young one, and when that is full the old one goes. A chunk that is one
+    Latin word, perhaps with full stops or commas behind, is that word's ids and those of the
+    marks. Such words need no normalising or splitting, so the library encodes
+    them many at a time with only its model; their last tokens end a word and show where they part.
+    """
+
+    TOGETHER, MARKS = 500, ".,"
+    #: What a tokenizer's file must say for words to need only the model.
+    NORMALIZERS, PATTERN = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str | None, bound: int = 200_000):
+    def __init__(self, path: str | None, bound: int = 600_000):
+        import json
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.model, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        self.model, self.bound = Tokenizer.from_file(path), bound
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
+        self.end = np.array([END_ID], self.kind).tobytes()
+        said = json.loads(self.model.to_str())
+        suffix = said["model"].get("end_of_word_suffix")
+        kinds = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        parts = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = None
+        if suffix and kinds == self.NORMALIZERS and parts[0].get("pattern", {}).get("Regex") == self.PATTERN:
+            m = said["model"]
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+            self.plain = Tokenizer(models.BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.model.get_vocab_size(), bool)
+            for token, k in self.model.get_vocab().items():
+                self.ends[k] = token.endswith(suffix)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
 
-    def ids(self, text: str | None):
-        from itertools import chain
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_words(self, new: list[str]) -> None:
         import numpy as np
 
-        chunks = (text or "").encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        width = np.dtype(self.kind).itemsize
+        groups = [new[k : k + self.TOGETHER] for k in range(0, len(new), self.TOGETHER)]
+        for g, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            raw = ids.tobytes()
+            if len(cuts) != len(g):
+                raise ValueError("a word's tokens don't end in one that ends a word")
+            self.words.update(zip(g, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Put chunks that the young generation lacks into it."""
+        young, old, words = self.young, self.old, self.words
+        single, made, new = [], [], {}
+        for c in chunks:
+            if (v := old.get(c)) is not None:
+                young[c] = v
+                continue
+            text = c.decode("utf-8", "replace")
+            low = text.lower()
+            word = low.rstrip(self.MARKS)
+            if self.plain is None or not word.isalpha() or not word.isascii() and max(word) >= "\u0250":
+                single.append((c, text))
+                continue
+            made.append((c, word, low[len(word) :]))
+            if word not in words:
+                if (v := self.old_words.get(word)) is not None:
+                    words[word] = v
+                else:
+                    new[word] = None
         if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            found = self.model.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            known.update(zip(new, (e.ids for e in found)))
-        out = np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.uint32)
-        return np.append(out, np.uint32(END_ID))
+            self._learn_words(list(new))
+        for marks in {m for _, _, m in made if m}:
+            if marks not in words:
+                words[marks] = self._encode([marks])[0]
+        for c, word, marks in made:
+            young[c] = words[word] + words[marks] if marks else words[word]
+        if single:
+            young.update(zip((c for c, _ in single), self._encode([t for _, t in single])))
+
+    def ids_of(self, texts: list[str | None]) -> list:
+        """Arrays of ids, the end id last."""
+        import gc
+
+        import numpy as np
+
+        gc.disable()  # many small objects, none in cycles
+        if len(self.young) > self.bound:
+            self.old, self.young = self.young, {}
+            self.old_words, self.words = self.words, {}
+        young, new, found = self.young, set(), []
+        for t in texts:
+            chunks = (t or "").encode("utf-8", "surrogatepass").split()
+            ids = list(map(young.get, chunks))
+            if None in ids:
+                lacks = [k for k, v in enumerate(ids) if v is None]
+                lack = [chunks[k] for k in lacks]
+                new.update(lack)
+                found.append((ids, lacks, lack))
+            else:
+                found.append((ids, (), ()))
+        if new:
+            self._learn(new)
+        out = []
+        for ids, lacks, lack in found:
+            for k, c in zip(lacks, lack):
+                ids[k] = young[c]
+            ids.append(self.end)
+            out.append(np.frombuffer(b"".join(ids), self.kind))
+        gc.enable()
+        return out
+
+    def ids(self, text: str | None):
+        return self.ids_of([text])[0]
 
 
 def file_name(folder: str, part: int) -> str:
@@ -169,7 +282,7 @@ def write_file(uri: str, ids: list, lengths: list[int], folder_ids: list) -> int
     """One token file; ids: arrays in order. Returns its bytes."""
     import numpy as np
 
-    flat = np.concatenate(ids).astype(np.uint64) if ids else np.empty(0, np.uint64)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     words, offsets = [], []
     base, step = 0, BLOCK * 4096
     for k in range(0, len(flat), step):
@@ -184,7 +297,7 @@ def write_file(uri: str, ids: list, lengths: list[int], folder_ids: list) -> int
         out.write(np.array([i is None for i in folder_ids], np.uint8).tobytes())
         out.write(np.array(lengths, "<u8").tobytes())
         for part in (*offsets, *words):
-            out.write(part.astype("<u8").tobytes())
+            out.write(part.astype("<u8", copy=False).tobytes())
 
     return put_file(uri, write)
 
@@ -227,12 +340,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         import pyarrow as pa
         from pyspark import TaskContext
 
-        chunks, ids, lengths, names = Chunks(tokenizer_path), [], [], []
+        chunks = worker_cache(f"chunks {tokenizer_path}", lambda: Chunks(tokenizer_path))
+        ids, lengths, names = [], [], []
         for b in batches:
             names += b.column("doc_id").to_pylist()
-            for t in b.column("text"):
-                ids.append(chunks.ids(t.as_py()))
-                lengths.append(len(ids[-1]))
+            for found in chunks.ids_of(b.column("text").to_pylist()):
+                ids.append(found)
+                lengths.append(len(found))
         if names:
             part = TaskContext.get().partitionId()
             uri = file_name(folder, part)
