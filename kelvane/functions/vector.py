@@ -54,13 +54,19 @@ def knn_join(queries: DataFrame, base: DataFrame, query_id: str, base_id: str, c
     """
     spark = base.sparkSession
     rows = queries.select(F.col(query_id).alias("_q"), F.col(column).alias("_v")).where("_v is not null")
-    blocks = rows.withColumn("_b", F.monotonically_increasing_id() % F.lit(1 << 30))
-    rows = [(r["_q"], [float(x) for x in r["_v"]]) for r in blocks.toLocalIterator()]
     kind = queries.schema[query_id].dataType
-    out = None
-    for at in range(0, max(1, len(rows)), chunk):
-        part = _block_best(base, base_id, column, rows[at : at + chunk], k, metric, spark, kind)
-        out = part if out is None else out.union(part)
+    out, block = None, []
+
+    def passed(block):
+        part = _block_best(base, base_id, column, block, k, metric, spark, kind)
+        return part if out is None else out.union(part)
+
+    for r in rows.toLocalIterator():
+        block.append((r["_q"], [float(x) for x in r["_v"]]))
+        if len(block) == chunk:
+            out, block = passed(block), []
+    if block or out is None:
+        out = passed(block)
     order = Window.partitionBy("query_id").orderBy("vec_distance", "base_id")
     best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select(F.col("query_id").alias(query_id), F.col("base_id").alias(f"near_{base_id}"), "vec_distance", F.col("rank").cast("long").alias("rank"))
