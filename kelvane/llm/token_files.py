@@ -7,7 +7,7 @@ word for an id of over 60 bits. Ids are coded in blocks of BLOCK; a block's last
 word may hold fewer ids than its selector could. A table of word offsets, one for
 each block, lets a reader decode any blocks at once with array operations.
 
-File (little-endian): MAGIC; uint64 numbers of documents, ids, blocks and words;
+File (little-endian): MAGIC; uint64 numbers of documents, ids, blocks and words, and the largest id;
 doc_id int64 each (absent ids: flags say so); flag uint8 each; ids of each document
 uint64; block offsets uint64; words uint64.
 
@@ -24,6 +24,7 @@ other columns are not read; an empty table writes and returns nothing.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -49,8 +50,8 @@ def encode(ids):
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    if ids.dtype != np.uint64 or not len(ids) or int(ids.max()) < 1 << 32:
-        ids = ids.astype(np.uint32)
+    largest = int(ids.max())
+    ids = ids.astype(np.uint16 if largest < 1 << 16 else np.uint32 if largest < 1 << 32 else np.uint64, copy=False)
     size = blocks * BLOCK + 64
     flat = np.zeros(size, ids.dtype)
     flat[:n] = ids
@@ -66,7 +67,7 @@ def encode(ids):
         fits = most[c] < (1 << (60 // c)) if 60 // c < flat.dtype.itemsize * 8 else np.ones(size, bool)
         if not fits.any():
             break
-        choice[fits] = s
+        np.copyto(choice, s, where=fits, casting="unsafe")
     lengths = np.array((1, *COUNTS[1:]))
     ends = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
     begins = np.zeros(size, bool)
@@ -101,11 +102,11 @@ def encode(ids):
     return words, offsets.astype(np.uint64)
 
 
-def decode(words, offsets, n: int):
-    """The n ids of encode()."""
+def decode(words, offsets, n: int, kind=None):
+    """The n ids of encode(), as 64-bit integers or another kind that holds them."""
     import numpy as np
 
-    out = np.empty(n, np.uint64)
+    out = np.empty(n, kind or np.uint64)
     if not n:
         return out
     words = np.asarray(words, np.uint64)
@@ -152,11 +153,13 @@ class Chunks:
     them many at a time with only its model; their last tokens end a word and show where they part.
     """
 
-    TOGETHER, MARKS = 500, ".,"
+    TOGETHER = 500
+    #: A word of lower-case letters below U+0250 (every one a letter that normalising leaves as it is) and marks behind it.
+    LATIN = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([.,]*)")
     #: What a tokenizer's file must say for words to need only the model.
     NORMALIZERS, PATTERN = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str | None, bound: int = 600_000):
+    def __init__(self, path: str | None, bound: int = 500_000):
         import json
         import os
 
@@ -210,19 +213,19 @@ class Chunks:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Put chunks that the young generation lacks into it."""
-        young, old, words = self.young, self.old, self.words
+        young, old, words, latin = self.young, self.old, self.words, self.LATIN.fullmatch
         single, made, new = [], [], {}
         for c in chunks:
             if (v := old.get(c)) is not None:
                 young[c] = v
                 continue
             text = c.decode("utf-8", "replace")
-            low = text.lower()
-            word = low.rstrip(self.MARKS)
-            if self.plain is None or not word.isalpha() or not word.isascii() and max(word) >= "\u0250":
+            m = latin(text.lower()) if self.plain else None
+            if m is None:
                 single.append((c, text))
                 continue
-            made.append((c, word, low[len(word) :]))
+            word = m[1]
+            made.append((c, word, m[2]))
             if word not in words:
                 if (v := self.old_words.get(word)) is not None:
                     words[word] = v
@@ -284,7 +287,7 @@ def write_file(uri: str, ids: list, lengths: list[int], folder_ids: list) -> int
 
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     words, offsets = [], []
-    base, step = 0, BLOCK * 4096
+    base, step = 0, BLOCK * 1024
     for k in range(0, len(flat), step):
         w, o = encode(flat[k : k + step])
         words.append(w)
@@ -292,7 +295,7 @@ def write_file(uri: str, ids: list, lengths: list[int], folder_ids: list) -> int
         base += len(w)
 
     def write(out):
-        out.write(MAGIC + struct.pack("<4Q", len(lengths), len(flat), sum(map(len, offsets)), base))
+        out.write(MAGIC + struct.pack("<5Q", len(lengths), len(flat), sum(map(len, offsets)), base, int(flat.max(initial=0))))
         out.write(np.array([i or 0 for i in folder_ids], "<i8").tobytes())
         out.write(np.array([i is None for i in folder_ids], np.uint8).tobytes())
         out.write(np.array(lengths, "<u8").tobytes())
@@ -311,19 +314,20 @@ def read_file(uri: str):
         raw = f.read()
     if raw[:8] != MAGIC:
         raise ValueError(f"{uri} is not a token file")
-    docs, n, blocks, words = struct.unpack_from("<4Q", raw, 8)
-    at = 40
+    docs, n, blocks, words, largest = struct.unpack_from("<5Q", raw, 8)
+    at = 48
     ids = np.frombuffer(raw, "<i8", docs, at)
     flags = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs)
     lengths = np.frombuffer(raw, "<u8", docs, at := at + docs)
     offsets = np.frombuffer(raw, "<u8", blocks, at := at + 8 * docs)
     packed = np.frombuffer(raw, "<u8", words, at + 8 * blocks)
-    flat = np.empty(n, np.uint64)
-    step = 4096
+    kind = np.uint32 if largest < 1 << 32 else np.uint64
+    flat = np.empty(n, kind)
+    step = 1024
     for k in range(0, blocks, step):
         stop = min(blocks, k + step)
         a, b = int(offsets[k]), int(offsets[stop]) if stop < blocks else words
-        flat[k * BLOCK : stop * BLOCK] = decode(packed[a:b], offsets[k:stop] - offsets[k], min(n, stop * BLOCK) - k * BLOCK)
+        flat[k * BLOCK : stop * BLOCK] = decode(packed[a:b], offsets[k:stop] - offsets[k], min(n, stop * BLOCK) - k * BLOCK, kind)
     return [None if f else int(i) for i, f in zip(ids, flags)], lengths.astype(np.int64), flat
 
 
@@ -371,7 +375,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 ids, lengths, flat = read_file(uri)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                small = flat.astype("<u4")
+                small = flat.astype("<u4", copy=False)
                 for k in range(0, len(ids), 2000):
                     a, e = starts[k : k + 2000], ends[k : k + 2000]
                     out = {"doc_id": pa.array(ids[k : k + 2000], pa.int64()), "start": pa.array(base + a), "n_tokens": pa.array(e - a)}
