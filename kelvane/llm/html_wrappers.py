@@ -61,7 +61,9 @@ WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations sidebar aside widget menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies login search pagination pager toolbar banner skip".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: What follows a tag's name, up to its end: quotes count behind an equals sign.
+REST, PLAIN_REST = re.compile(r"((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>"), re.compile(r"([^>]*)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
 
 
@@ -98,28 +100,40 @@ def parse(html: str) -> Node:
     root = Node("#root", False, False)
     stack: list[tuple[str, Node | None]] = [("#root", root)]
     blocks = [root]
+    opened: dict[str, int] = {}
 
     def close(k: int) -> None:
-        for _, node in stack[k:]:
+        for name, node in stack[k:]:
+            opened[name] -= 1
             if node is not None:
                 blocks.pop()
         del stack[k:]
 
-    at, low = 0, None
+    at, rest = 0, REST
     while True:
-        m = TOKEN.search(html, at)
+        m = MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
             blocks[-1].children.append(text)
         if not m:
             return root
-        at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag:  # a comment or declaration
+            close_mark = "-->" if m[0] == "<!--" else ">"
+            end = html.find(close_mark, m.end())
+            at = len(html) if end < 0 else end + len(close_mark)
             continue
+        more = rest.match(html, m.end())
+        if more is None:  # a quote that never ends: from here on quotes don't count, so the page is read in linear time
+            rest = PLAIN_REST
+            more = rest.match(html, m.end())
+        if more is None:
+            return root
+        attributes, at = more[1], more.end()
         if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
-                blocks[-1].children.append(" ")
+            if not opened.get(tag):
+                if tag in ("br", "p"):
+                    blocks[-1].children.append(" ")
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -140,22 +154,22 @@ def parse(html: str) -> Node:
                 elif stack[k][0] in bar or stack[k][0] in BLOCKS and stack[k][0] not in ("ul", "ol"):
                     break
         inside = blocks[-1].inside or tag in ("article", "main")
-        out = left_out(tag, m[3], blocks[-1].inside)
+        out = left_out(tag, attributes, blocks[-1].inside)
         if tag in BLOCKS or out:
             node = Node(tag, out, inside)
             blocks[-1].children.append(node)
             if tag not in RAW:
                 stack.append((tag, node))
                 blocks.append(node)
+                opened[tag] = opened.get(tag, 0) + 1
         else:
             stack.append((tag, None))
-        if tag in RAW or tag in ("iframe", "svg", "template"):
-            low = html.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            if tag in RAW:
-                at = len(html) if end < 0 else end
-                if stack[-1][0] == tag:
-                    close(len(stack) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
+        if tag in RAW:
+            end = re.compile(f"</{tag}", re.I).search(html, at)
+            at = end.start() if end else len(html)
+            if stack[-1][0] == tag:
+                close(len(stack) - 1)
 
 
 def main_roots(root: Node) -> list[Node]:
@@ -292,8 +306,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
     import json
     from sys import setrecursionlimit
 
-    first = pages.groupBy("host").agg(F.min("rank").alias("rank"))
-    chosen = pages.join(first, ["host", "rank"]).groupBy("host").agg(F.max("html").alias("html"))  # equal ranks are equal ids: one row stays
+    chosen = pages.groupBy("host").agg(F.min(F.struct("rank", "html")).alias("page")).select("host", "page.html")  # a row a host leaves each task
 
     def run(batches):
         import pyarrow as pa
