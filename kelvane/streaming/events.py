@@ -154,6 +154,11 @@ def formatted(events: DataFrame, kind: str = "native") -> DataFrame:
     return events.select("seq", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
 
 
+def projected(image: str, columns: list[str]) -> Column:
+    """An image with only the named members."""
+    return F.to_json(F.map_filter(F.from_json(F.col(image), "map<string,string>"), lambda k, v: k.isin(*columns)))
+
+
 def visible(events: DataFrame, policies: dict[str, tuple[str, list[str] | None]]) -> DataFrame:
     """Events a subscriber may see. policies: table -> (predicate in SQL over `img`, a map of the image, columns or None for all).
 
@@ -169,8 +174,7 @@ def visible(events: DataFrame, policies: dict[str, tuple[str, list[str] | None]]
         cut = F.col(side)
         for name, (_, columns) in policies.items():
             if columns is not None:
-                kept = F.map_filter(F.from_json(F.col(side), "map<string,string>"), lambda k, v, cs=columns: k.isin(*cs))
-                cut = F.when(F.col("table_name") == name, F.to_json(kept)).otherwise(cut)
+                cut = F.when(F.col("table_name") == name, projected(side, columns)).otherwise(cut)
         rows = rows.withColumn(side, cut)
     return rows.drop("img")
 
@@ -192,8 +196,7 @@ class Route:
             events = events.where(F.col("op").isin(*self.ops))
         if self.columns is not None:
             for side in ("before", "after"):
-                kept = F.map_filter(F.from_json(F.col(side), "map<string,string>"), lambda k, v: k.isin(*self.columns))
-                events = events.withColumn(side, F.to_json(kept))
+                events = events.withColumn(side, projected(side, self.columns))
         return events
 
 
