@@ -190,7 +190,7 @@ def main_roots(root: Node) -> list[Node]:
 
 def own_text(node: Node) -> str:
     """A node's own runs of text, without its child blocks, white space as one space."""
-    return " ".join(unescape("".join(c if isinstance(c, str) else " " for c in node.children)).split())
+    return " ".join(unescape("".join(c if isinstance(c, str) else " " * (c.tag in BLOCKS) for c in node.children)).split())
 
 
 def skeleton(roots: list[Node]) -> list:
@@ -281,7 +281,7 @@ def text_of(roots: list[Node], template: set[int]) -> str:
         for c in node.children:
             if isinstance(c, str):
                 run.append(c)
-            else:
+            elif c.tag in BLOCKS:
                 flush(node, run)
                 if not c.out:
                     walk(c)
