@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> Da
     least = distinct.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = nodes.join(least, "root").select("fp", "component_id")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(classes, "fp")
+    return fps.join(stored(classes, "classes"), "fp")  # a plain side, so a hot fingerprint's partition can be split
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
