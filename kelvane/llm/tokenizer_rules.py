@@ -22,7 +22,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized_batches
+from .common import sized_batches, worker_cache
 
 SYMBOLS = "#*$%&|<>"
 
@@ -154,7 +154,7 @@ def measure(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        pieces = WordPieces(tokenizer_path)
+        pieces = worker_cache(f"pieces {tokenizer_path}", lambda: WordPieces(tokenizer_path))
         for b in batches:
             rows = [measures_of(t, pieces) for t in b.column("text").to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * 10
