@@ -52,7 +52,8 @@ def frequent(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, th and runs (array<int>: kept, dropped, kept, ... lines; what follows the last run is kept) of documents that lose lines."""
     lines = stored(keyed_lines(docs, least_chars), "lines")  # hashes and places only: texts are split once
-    gone =lines.join(frequent(lines, least_docs), ["h1", "h2"]).where("doc_id <> last_id")
+    often = stored(frequent(lines, least_docs), "frequent")  # a plain side, so a hot hash's partition can be split
+    gone = lines.join(often, ["h1", "h2"]).where("doc_id <> last_id")
     each = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     begins = F.filter("p", lambda x, i: (i == 0) | (F.col("p")[F.greatest(i - 1, F.lit(0))] != x - 1))
     ends = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.col("p")[F.least(i + 1, F.size("p") - 1)] != x + 1))
