@@ -41,6 +41,7 @@ def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     groups = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("head"))
     groups = groups.where("n > 1 and head is not null").select(F.col("payload_digest").alias("digest"), "head")  # only these meet the pages
+    groups = stored(groups, "payloads")  # a plain side, so a hot payload's partition can be split
     joined = base.join(groups, base["payload_digest"] == groups["digest"], "left")
     return joined.select(*base.columns, F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
 
