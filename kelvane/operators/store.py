@@ -1,9 +1,10 @@
 """Tables that can be written: versioned Parquet folders with constraints, writes and an event log.
 
-A table is a folder: v=N folders of Parquet, and _current, a text file with the version and the
-metadata as JSON, put in place by a rename in Hadoop's file system. A write
-computes the new version as one DataFrame plan, checks constraints, writes the folder, appends
-events, then moves the pointer. One writer at a time; readers see whole versions.
+A table is a folder: folders of Parquet files, and _current, a JSON text with the version, its list of
+files and the metadata, put in place by a rename in Hadoop's file system. An insert adds files;
+an update, delete or upsert finds the files with affected rows and rewrites only these; keys
+are checked by joining new rows with the key columns. Constraints are checked before the
+pointer moves. One writer at a time; readers see whole versions.
 """
 
 from __future__ import annotations
@@ -99,9 +100,16 @@ class Store:
     def create(self, name: str, spec: Spec, rows: DataFrame | None = None) -> None:
         if self._get(f"{self.folder}/{name}/_current") is not None:
             raise ValueError(f"table {name} exists")
-        df = self.spark.createDataFrame([], spec.schema()) if rows is None else _coerced(rows, spec)
-        df.write.parquet(f"{self.folder}/{name}/v=1")
-        self._put(f"{self.folder}/{name}/_current", json.dumps({"version": 1, "serial": {}, "spec": asdict(spec)}))
+        files = [] if rows is None else self._write(name, 1, _coerced(rows, spec))
+        self._put(f"{self.folder}/{name}/_current", json.dumps({"version": 1, "serial": {}, "dropped": [], "files": files, "spec": asdict(spec)}))
+
+    def _write(self, name: str, version: int, df: DataFrame) -> list[str]:
+        """Write rows as files of a version; returns the files' names under the table's folder."""
+        place = f"v{version}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.folder}/{name}/{place}")
+        top = f"{self.folder}/{name}/{place}"
+        found = [x.getPath().getName() for x in self._fs(top).listStatus(self._path(top))]
+        return [f"{place}/{f}" for f in sorted(found) if f.endswith(".parquet")]
 
     def drop(self, name: str, if_exists: bool = False) -> None:
         if self._get(f"{self.folder}/{name}/_current") is None:
@@ -111,18 +119,22 @@ class Store:
         self._fs(self.folder).delete(self._path(f"{self.folder}/{name}"), True)
 
     def add_column(self, name: str, column: str, kind: str, default=None) -> None:
-        """Older rows read the default."""
-        spec = self.spec(name)
+        """Older rows read the default. Files are rewritten only for a default, or for the name of a dropped column."""
+        spec, state = self.spec(name), self._state(name)
         if column in spec.columns:
             raise ValueError(f"column {column} exists")
-        df = self.read(name).withColumn(column, F.lit(default).cast(kind))
+        old = self.read(name)
         spec.columns[column] = kind
         if default is not None:
             spec.defaults[column] = default
-        self._swap(name, df, spec)
+        if default is not None or column in state["dropped"]:
+            self._commit(name, keep=[], add=old.withColumn(column, F.lit(default).cast(kind)), spec=spec)
+        else:
+            self.set_spec(name, spec)
 
     def drop_column(self, name: str, column: str, if_exists: bool = False) -> None:
-        spec = self.spec(name)
+        """Metadata only: files keep the column, reads don't name it."""
+        spec, state = self.spec(name), self._state(name)
         if column not in spec.columns:
             if if_exists:
                 return
@@ -131,19 +143,38 @@ class Store:
         spec.defaults.pop(column, None)
         spec.not_null = [c for c in spec.not_null if c != column]
         spec.unique = [u for u in spec.unique if column not in u]
-        self._swap(name, self.read(name), spec)
+        state |= {"dropped": sorted({*state["dropped"], column}), "spec": asdict(spec)}
+        self._put(f"{self.folder}/{name}/_current", json.dumps(state))
 
     def read(self, name: str) -> DataFrame:
         """The current version."""
         state = self._state(name)
-        return self.spark.read.schema(Spec(**state["spec"]).schema()).parquet(f"{self.folder}/{name}/v={state['version']}")
+        return self._read(name, state["files"], Spec(**state["spec"]))
 
-    def _swap(self, name: str, df: DataFrame, spec: Spec | None = None, serial: dict | None = None) -> None:
+    def _read(self, name: str, files: list[str], spec: Spec) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], spec.schema())
+        return self.spark.read.schema(spec.schema()).parquet(*[f"{self.folder}/{name}/{f}" for f in files])
+
+    def _touched(self, name: str, rows) -> list[str]:
+        """Files of the current version with rows that rows(df) leaves."""
+        state = self._state(name)
+        if not state["files"]:
+            return []
+        df = self._read(name, state["files"], Spec(**state["spec"]))
+        df = rows(df.withColumn("_file", F.col("_metadata.file_path")))
+        return sorted("/".join(r["_file"].split("/")[-2:]) for r in df.select("_file").distinct().collect())  # file names, as the pointer holds them
+
+    def _commit(self, name: str, keep: list[str] | None = None, add: DataFrame | None = None, spec: Spec | None = None, serial: dict | None = None) -> None:
+        """A new version: the kept files (None: all) and those of the added rows."""
         state = self._state(name)
         spec = spec or Spec(**state["spec"])
         version = state["version"] + 1
-        df.select(*spec.columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
-        self._put(f"{self.folder}/{name}/_current", json.dumps({"version": version, "serial": state["serial"] | (serial or {}), "spec": asdict(spec)}))
+        files = list(state["files"] if keep is None else keep)
+        if add is not None:
+            files += self._write(name, version, add.select(*spec.columns))
+        new = {"version": version, "serial": state["serial"] | (serial or {}), "files": files, "spec": asdict(spec)}
+        self._put(f"{self.folder}/{name}/_current", json.dumps(state | new))
 
     # writes: each returns the affected rows
 
@@ -159,12 +190,11 @@ class Store:
         if nothing and not conflict:
             conflict = spec.primary or (spec.unique[0] if spec.unique else None)
         if not conflict:
-            self._check_unique(old.unionByName(new), spec)
+            self._check_unique(new, old, spec)
             self._check_foreign(new, spec)
-            self._swap(name, old.unionByName(new), serial=serial)
+            self._commit(name, add=new, serial=serial)
             self._events(name, spec, "insert", None, new)
             return new
-        key = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in conflict]
         whole = F.lit(True)
         for k in conflict:
             whole &= F.col(k).isNotNull()
@@ -172,40 +202,44 @@ class Store:
         pick = Window.partitionBy(*conflict).orderBy("_at" if nothing else F.desc("_at"))
         one = numbered.where(whole).withColumn("_k", F.row_number().over(pick)).where("_k = 1").drop("_k").unionByName(numbered.where(~whole)).drop("_at")
         one = self._keep(one, name)
-        fresh = one.alias("n").join(old.alias("o"), key, "left_anti")
-        if nothing:
-            after, inserted, changed_old, changed_new = old.unionByName(fresh), fresh, None, None
-        else:
-            both = old.alias("old").join(one.alias("new"), [F.col(f"old.{k}") == F.col(f"new.{k}") for k in conflict], "left")
-            hit = F.coalesce(F.struct("new.*").isNotNull() & F.col(f"new.{conflict[0]}").isNotNull() & (F.lit(True) if where is None else where), F.lit(False))
-            columns = [F.when(hit, update[c]).otherwise(F.col(f"old.{c}")).cast(spec.columns[c]).alias(c) if c in update else F.col(f"old.{c}").alias(c) for c in spec.columns]
-            marked = self._keep(both.select(*columns, hit.alias("_hit"), F.struct("old.*").alias("_old")), name)
-            changed_new, changed_old = marked.where("_hit").select(*spec.columns), marked.where("_hit").select("_old.*")
-            self._check_rows(changed_new, spec)
-            after, inserted = marked.select(*spec.columns).unionByName(fresh), fresh
-        self._check_unique(after, spec)
+        fresh = self._keep(one.alias("n").join(old.select(*conflict).alias("o"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in conflict], "left_anti"), name)
+        files, changed_old, changed_new, added = None, None, None, fresh
+        if not nothing:
+            keys = one.select(*conflict).where(whole)
+            touched = self._touched(name, lambda df: df.join(keys, conflict, "left_semi"))
+            if touched:
+                both = self._read(name, touched, spec).alias("old").join(one.alias("new"), [F.col(f"old.{k}") == F.col(f"new.{k}") for k in conflict], "left")
+                hit = F.coalesce(F.col(f"new.{conflict[0]}").isNotNull() & (F.lit(True) if where is None else where), F.lit(False))
+                columns = [F.when(hit, update[c]).otherwise(F.col(f"old.{c}")).cast(spec.columns[c]).alias(c) if c in update else F.col(f"old.{c}").alias(c) for c in spec.columns]
+                marked = self._keep(both.select(*columns, hit.alias("_hit"), F.struct("old.*").alias("_old")), name)
+                changed_new, changed_old = marked.where("_hit").select(*spec.columns), marked.where("_hit").select("_old.*")
+                self._check_rows(changed_new, spec)
+                files = [f for f in self._state(name)["files"] if f not in set(touched)]
+                added = marked.select(*spec.columns).unionByName(fresh)
+        self._check_unique(added, self._read(name, files, spec) if files is not None else old, spec)
         self._check_foreign(one, spec)
-        inserted = self._keep(inserted, name)
-        self._swap(name, after, serial=serial)
-        self._events(name, spec, "insert", None, inserted)
+        self._commit(name, keep=files, add=added, serial=serial)
+        self._events(name, spec, "insert", None, fresh)
         if changed_new is not None:
             self._events(name, spec, "update", changed_old, changed_new, spec.primary or conflict)
-        return inserted if changed_new is None else inserted.unionByName(changed_new)
+        return fresh if changed_new is None else fresh.unionByName(changed_new)
 
     def update(self, name: str, values: dict[str, Column], where: Column | None = None) -> DataFrame:
         """Set columns to expressions over the old row where the predicate is true."""
         spec = self.spec(name)
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-        old = self.read(name)
+        touched = self._touched(name, lambda df: df.where(hit))
+        old = self._read(name, touched, spec)
         marked = old.select(*[F.when(hit, v).otherwise(F.col(c)).cast(spec.columns[c]).alias(c) if (v := values.get(c)) is not None else F.col(c) for c in spec.columns], hit.alias("_hit"), F.struct("*").alias("_old"))
         marked = self._keep(marked, name)
         new, before = marked.where("_hit").select(*spec.columns), marked.where("_hit").select("_old.*")
         self._check_rows(new, spec)
-        after = marked.select(*spec.columns)
-        self._check_unique(after, spec)
+        files = [f for f in self._state(name)["files"] if f not in set(touched)]
+        after, rest = marked.select(*spec.columns), self._read(name, files, spec)
+        self._check_unique(after, rest, spec, set(values))
         self._check_foreign(new, spec)
-        self._check_children(name, marked.where("_hit").select("_old.*"), after)
-        self._swap(name, after)
+        self._check_children(name, before, after, rest, set(values))
+        self._commit(name, keep=files, add=after)
         self._events(name, spec, "update", before, new, spec.primary)
         return new
 
@@ -213,17 +247,19 @@ class Store:
         """Rows for which the predicate is true go; unknown is not true."""
         spec = self.spec(name)
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-        old = self.read(name)
+        touched = self._touched(name, lambda df: df.where(hit))
+        old = self._read(name, touched, spec)
+        files = [f for f in self._state(name)["files"] if f not in set(touched)]
         gone, kept = self._keep(old.where(hit), name), old.where(~hit)
-        self._check_children(name, gone, kept)
-        self._swap(name, kept)
+        self._check_children(name, gone, kept, self._read(name, files, spec))
+        self._commit(name, keep=files, add=kept)
         self._events(name, spec, "delete", gone, None)
         return gone
 
     def truncate(self, name: str) -> int:
         """Empty the table; returns the number of rows it had."""
         n = self.read(name).count()
-        self._swap(name, self.spark.createDataFrame([], self.spec(name).schema()))
+        self._commit(name, keep=[])
         return n
 
     # constraints
@@ -239,9 +275,13 @@ class Store:
         if bad:
             raise ConstraintError(bad["rule"])
 
-    def _check_unique(self, rows: DataFrame, spec: Spec) -> None:
+    def _check_unique(self, rows: DataFrame, rest: DataFrame, spec: Spec, changed: set[str] | None = None) -> None:
+        """No key twice among rows, nor in rows and the rest, which is read for the key's columns alone. changed: only rules over these."""
         for u in spec.unique + ([spec.primary] if spec.primary else []):
-            if duplicates(rows, u).limit(1).count():
+            if changed is not None and not changed & set(u):
+                continue
+            clash = rest.select(*u).join(rows.select(*u), u, "left_semi")  # null components never match
+            if duplicates(rows, u).limit(1).count() or clash.limit(1).count():
                 raise ConstraintError(f"unique ({', '.join(u)})")
 
     def _check_foreign(self, rows: DataFrame, spec: Spec) -> None:
@@ -249,13 +289,14 @@ class Store:
             if orphans(rows, column, self.read(parent), key).limit(1).count():
                 raise ConstraintError(f"foreign key {rule}")
 
-    def _check_children(self, name: str, before: DataFrame, after: DataFrame) -> None:
-        """RESTRICT: no child may lose its parent."""
+    def _check_children(self, name: str, before: DataFrame, after: DataFrame, rest: DataFrame, changed: set[str] | None = None) -> None:
+        """RESTRICT: no child may lose its parent. before: old affected rows; after and rest: what stays; changed: only keys of these columns."""
         for other in self.names():
             for rule, (column, parent, key) in self.spec(other).foreign.items():
-                if parent == name:
-                    lost = before.select(key).distinct().join(after.select(key).distinct(), key, "left_anti")
-                    if self.read(other).join(lost, F.col(column) == lost[key], "left_semi").limit(1).count():
+                if parent == name and (changed is None or key in changed):
+                    lost = before.select(key).distinct().join(after.select(key), key, "left_anti").join(rest.select(key), key, "left_anti")
+                    lost = lost.withColumnRenamed(key, "_lost")
+                    if self.read(other).join(lost, F.col(column) == F.col("_lost"), "left_semi").limit(1).count():
                         raise ConstraintError(f"foreign key {rule} of {other}")
 
     # events
