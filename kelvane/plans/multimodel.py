@@ -28,9 +28,9 @@ def near_l2(t):
     return vector.near(t.embeddings, "embedding", _first(t), 10, tie="vec_id").select("vec_id", F.round("vec_distance", 5).alias("dist"))
 
 
-@query(f"SELECT vec_id, round({_COS}, 5) AS dist FROM embeddings ORDER BY {_COS}, vec_id LIMIT 10")
+@query(f"SELECT vec_id, abs(round({_COS}, 5)) AS dist FROM embeddings ORDER BY {_COS}, vec_id LIMIT 10")
 def near_cosine(t):
-    return vector.near(t.embeddings, "embedding", _first(t), 10, "cosine", tie="vec_id").select("vec_id", F.round("vec_distance", 5).alias("dist"))
+    return vector.near(t.embeddings, "embedding", _first(t), 10, "cosine", tie="vec_id").select("vec_id", F.abs(F.round("vec_distance", 5)).alias("dist"))
 
 
 @query(f"SELECT vec_id, label, round(list_distance(embedding::DOUBLE[], {_V}::DOUBLE[]), 5) AS dist FROM embeddings WHERE label = 3 ORDER BY list_distance(embedding::DOUBLE[], {_V}::DOUBLE[]), vec_id LIMIT 5")

@@ -30,7 +30,7 @@ def _accounts(t, **options):
     return e
 
 
-_A = "SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance, 'old' AS note FROM customer"
+_A = "SELECT c_custkey AS id, c_nationkey::BIGINT AS nation, c_acctbal AS balance, 'old' AS note FROM customer"
 
 
 @query(f"{_A} UNION ALL SELECT 9000001, 1, 5.5, 'new' UNION ALL SELECT 9000002, NULL, NULL, 'x'")
@@ -52,14 +52,14 @@ def upsert_nothing(t):
     return e.store.read("accounts")
 
 
-@query("SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_custkey IN (1, 2) THEN round(c_acctbal + 10, 2) ELSE c_acctbal END AS balance, CASE WHEN c_custkey IN (1, 2) THEN 'ten' ELSE 'old' END AS note FROM customer UNION ALL SELECT 9000001, 3, 10, 'ten'")
+@query("SELECT c_custkey AS id, c_nationkey::BIGINT AS nation, CASE WHEN c_custkey IN (1, 2) THEN round(c_acctbal + 10, 2) ELSE c_acctbal END AS balance, CASE WHEN c_custkey IN (1, 2) THEN 'ten' ELSE 'old' END AS note FROM customer UNION ALL SELECT 9000001, 3, 10, 'ten'")
 def upsert_update(t):
     e = _accounts(t)
     e.sql("INSERT INTO accounts VALUES (1, 3, 10, 'ten'), (2, 3, 10, 'ten'), (9000001, 3, 10, 'ten') ON CONFLICT (id) DO UPDATE SET balance = balance + EXCLUDED.balance, note = EXCLUDED.note")
     return e.store.read("accounts").withColumn("balance", F.when(c("id").isin(1, 2), F.round("balance", 2)).otherwise(c("balance")))
 
 
-@query("SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_nationkey = 3 THEN round(c_acctbal * 2 + 1, 2) ELSE c_acctbal END AS balance, CASE WHEN c_nationkey = 3 THEN 'upd' ELSE 'old' END AS note FROM customer")
+@query("SELECT c_custkey AS id, c_nationkey::BIGINT AS nation, CASE WHEN c_nationkey = 3 THEN round(c_acctbal * 2 + 1, 2) ELSE c_acctbal END AS balance, CASE WHEN c_nationkey = 3 THEN 'upd' ELSE 'old' END AS note FROM customer")
 def update_case(t):
     e = _accounts(t)
     e.sql("UPDATE accounts SET balance = balance * 2 + 1, note = 'upd' WHERE nation = 3")
