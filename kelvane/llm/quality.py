@@ -1,7 +1,8 @@
 """Operator 4: quality by nearest-neighbour voting in a latent-semantic space.
 
 Terms are hashed byte pairs and triples of the whole text, so any language and any
-noise has terms. Labelled rows of the learning folds, at most FIT of each label (the least
+noise has terms, and REPEATS terms that stand for words that repeat the word before: the square
+of their share of the text (in thousandths), so that chance repeats vanish. Labelled rows of the learning folds, at most FIT of each label (the least
 hashes of their ids), give inverse document frequencies and a truncated singular
 value decomposition; their latent vectors, at most 2 * FIT of RANK numbers, are broadcast
 with the projection of WIDTH x RANK numbers. Each document's vector meets all labelled
@@ -26,26 +27,35 @@ from pyspark.sql import functions as F
 
 from .common import Sent, sized_batches
 
-FIT, WIDTH, RANK, NEAR, POWER, CUT, SEED = 1500, 4096, 96, 21, 8, 0.7, 7
+FIT, HASHED, REPEATS, RANK, NEAR, POWER, CUT, SEED = 1500, 4096, 64, 96, 21, 8, 0.7, 7
+#: Words added to a text's length when its share of repeats is taken, so that a chance repeat in a short text says little.
+SMOOTH = 50
+WIDTH = HASHED + REPEATS
 
 
 def term_counts(texts: list[str | None]):
-    """Counts of hashed byte pairs and triples, a row of WIDTH for each text."""
+    """Counts of hashed byte pairs and triples and of repeats, a row of WIDTH for each text."""
+    from itertools import islice
+    from operator import eq
+
     import numpy as np
 
     out = np.zeros((len(texts), WIDTH), np.float32)
     for k, t in enumerate(texts):
-        raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
+        encoded = (t or "").encode("utf-8", "surrogatepass")
+        words = encoded.split()
+        out[k, HASHED:] = 1000 * (sum(map(eq, words, islice(words, 1, None))) / (len(words) + SMOOTH)) ** 2
+        raw = np.frombuffer(encoded, np.uint8)
         for at in range(0, max(0, len(raw) - 1), 1 << 20):  # a very long text stays within bounded memory
             b = raw[at : at + (1 << 20) + 2].astype(np.uint32)
             stop = min(1 << 20, len(raw) - at)
             two = b[:-1] * np.uint32(257) + b[1:]
             hashed = ((two * np.uint32(2654435761)) >> np.uint32(20))[:stop]
-            out[k] += np.bincount(hashed, minlength=WIDTH)
+            out[k, :HASHED] += np.bincount(hashed, minlength=HASHED)
             if len(b) > 2:
                 three = two[:-1] * np.uint32(251) + b[2:] + np.uint32(97)
                 hashed = ((three * np.uint32(2246822519)) >> np.uint32(20))[:stop]
-                out[k] += np.bincount(hashed, minlength=WIDTH)
+                out[k, :HASHED] += np.bincount(hashed, minlength=HASHED)
     return out
 
 
