@@ -122,6 +122,53 @@ def cdc_capture(t):
     return log.events().groupBy("op").agg(F.count(lit(1)).alias("n"))
 
 
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def ndjson_load(t):
+    from ..sources.ndjson import read_ndjson
+
+    folder = _folder(t)
+    t.nation.select("n_nationkey", "n_name").write.json(folder)
+    return read_ndjson(t.spark, folder, "n_nationkey bigint, n_name string")
+
+
+@query("SELECT 7::BIGINT AS id, 20000::BIGINT AS n")
+def large_object(t):
+    from ..sources.objects import objects, put_object
+
+    folder = _folder(t)
+    put_object(t.spark, folder, 7, b"x" * 20_000)
+    return objects(t.spark, folder).select("id", F.octet_length("data").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey AS n FROM customer WHERE c_nationkey = 5")
+def trigger_audit(t):
+    e = _accounts(t)
+    e.sql("CREATE TABLE audit (n INT)")
+    e.functions["log"] = lambda engine, new, old: engine.store.insert("audit", old.select(c("id").alias("n")))
+    e.sql("CREATE TRIGGER a AFTER DELETE ON accounts FOR EACH ROW EXECUTE FUNCTION log")
+    e.sql("DELETE FROM accounts WHERE nation = 5")
+    return e.store.read("audit")
+
+
+@query("SELECT round(sum(CASE WHEN c_nationkey = 2 THEN c_acctbal + 100 ELSE c_acctbal END), 2) AS total FROM customer")
+def rpc_function(t):
+    from ..operators import jobs
+
+    e = _accounts(t)
+    functions = jobs.Functions(e)
+    functions.put(jobs.Function("pay", ["amount", "nation"], ["UPDATE accounts SET balance = balance + $1 WHERE nation = $2", "SELECT round(sum(balance), 2) AS total FROM accounts"]))
+    return functions.call("pay", {"amount": 100, "nation": 2})
+
+
+@query("SELECT 1::BIGINT AS a UNION ALL SELECT 2")
+def migrations(t):
+    from ..operators import jobs
+
+    e = Engine(t.spark, _folder(t))
+    jobs.migrate(e, {"1.sql": "CREATE TABLE m (a INT)", "2.sql": "INSERT INTO m VALUES (1); INSERT INTO m VALUES (2)"}, {})
+    return e.store.read("m")
+
+
 # data API
 
 KEYS = [resource.ForeignKey("orders", "o_custkey", "customer", "c_custkey"), resource.ForeignKey("customer", "c_nationkey", "nation", "n_nationkey")]
