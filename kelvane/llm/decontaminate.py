@@ -233,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs without a hit."""
     hits = stored(contamination(docs, benchmark).select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_text")).distinct(), "hits")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hit_text"))
+    same = docs["doc_id"].cast("long").eqNullSafe(hits["_hit_id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["_hit_text"])
     return docs.join(hits, same, "left_anti")
 
 

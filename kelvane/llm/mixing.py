@@ -111,10 +111,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).where("taken > 0")
     times = taken.groupBy("doc_id", "source", "size").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times")
-    sized = docs.withColumn("_words", word_count(docs["text"]))
-    same = sized["doc_id"].cast("long").eqNullSafe(times["_id"]) & sized["source"].cast("string").eqNullSafe(times["_source"]) & (sized["_words"] == times["_size"])
-    both = sized.join(times, same)
-    return both.select(*[both[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    same = docs["doc_id"].cast("long").eqNullSafe(times["_id"]) & docs["source"].cast("string").eqNullSafe(times["_source"]) & (word_count(docs["text"]) == times["_size"])
+    copies = F.explode(F.sequence(F.lit(1), times["_times"]))
+    return docs.join(times, same).select(*[docs[c] for c in docs.columns], copies).toDF(*docs.columns, "_copy_").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ to the file that is rewritten. A shard that neither gives nor takes is not rewri
 
 Defined results: a null text has 0 bytes and the crc of no bytes; null and repeated
 ids are rows like any other; an empty table has no rows; other columns stay in the files
-but those named shard, slot or beginning with an underscore are renamed or dropped.
+but those named shard or slot or beginning with an underscore, which are dropped.
 """
 
 from __future__ import annotations
@@ -174,9 +174,9 @@ def reshard(docs: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
     kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_")]
     rows = docs.select(*kept, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
     light = stored(rows.select(F.col("_file").alias("file"), F.col("_pos").alias("pos"), (F.octet_length(text) + EXTRA).cast("long").alias("size")), "sizes")
-    runs = F.broadcast(plan(light, shards).select(F.col("file").alias("_of"), "first", "last", F.col("shard").alias("shard"), F.col("base").alias("_base")))
-    dealt = rows.join(runs, (F.col("_file") == F.col("_of")) & F.col("_pos").between(F.col("first"), F.col("last")))
-    dealt = dealt.withColumn("slot", F.col("_base") + F.col("_pos") - F.col("first"))
+    runs = F.broadcast(plan(light, shards).select(F.col("file").alias("_of"), F.col("first").alias("_first"), F.col("last").alias("_last"), "shard", F.col("base").alias("_base")))
+    dealt = rows.join(runs, (F.col("_file") == F.col("_of")) & F.col("_pos").between(F.col("_first"), F.col("_last")))
+    dealt = dealt.withColumn("slot", F.col("_base") + F.col("_pos") - F.col("_first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_")], "slot", "shard")
     dealt = dealt.repartition(n, "shard", F.floor(F.col("slot") / 4096))
