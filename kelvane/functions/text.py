@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode white space between tokens; what is neither letter nor number at a token's edges.
-SPACE, EDGES = r"(?U)\s+", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Unicode white space between tokens; runs of what is neither letter nor number at a token's edges.
+SPACE, EDGES = r"(?U)\s+", r"(?U)(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
 
 
 def tokenize(c: Column) -> Column:
     """The distinct tokens of a text: split at white space, edges trimmed, lower case, empty ones dropped."""
-    words = F.transform(F.split(c, SPACE), lambda t: F.lower(F.regexp_replace(t, EDGES, "")))
+    words = F.split(F.regexp_replace(F.lower(c), EDGES, ""), SPACE)  # one pass over the text, none a token
     return F.array_distinct(F.filter(words, lambda t: t != ""))
 
 
 def match(c: Column, query: str | Column) -> Column:
     """Whether every token of the query is among the text's; an empty query matches nothing, a null text is null."""
     asked = tokenize(F.lit(query) if isinstance(query, str) else query)
+    if isinstance(query, str) and query.isascii():  # texts that lack a token as a substring need no tokens
+        holds = F.forall(asked, lambda t: F.contains(F.lower(c), t))
+        exact = F.size(F.array_except(asked, tokenize(c))) == 0
+        return F.when(c.isNull(), F.lit(None).cast("boolean")).when((F.size(asked) > 0) & holds, exact).otherwise(False)
     return F.when(c.isNull(), F.lit(None).cast("boolean")).otherwise((F.size(asked) > 0) & (F.size(F.array_except(asked, tokenize(c))) == 0))
 
 
