@@ -343,7 +343,8 @@ _ranking("lag_n", "lag(o_totalprice, 3)", "DOUBLE")
 _ranking("lead", "lead(o_totalprice)", "DOUBLE")
 _ranking("lead_n", "lead(o_totalprice, 2)", "DOUBLE")
 _whole_partition("sum", f"round(sum(o_totalprice) {FRAME}, 2)", lambda w: F.round(F.sum("o_totalprice").over(w), 2))
-_whole_partition("avg", f"round(avg(o_totalprice) {FRAME}, 2)", lambda w: F.round(F.avg("o_totalprice").over(w), 2))
+# an average of amounts in hundredths, free of the order in which they were added up
+_whole_partition("avg", f"round(avg(o_totalprice) {FRAME} * count(*) {FRAME}, 2) / count(*) {FRAME}", lambda w: F.round(F.avg("o_totalprice").over(w) * F.count(lit(1)).over(w), 2) / F.count(lit(1)).over(w))
 _whole_partition("count", f"(count(*) {FRAME})::BIGINT", lambda w: F.count(lit(1)).over(w))
 _whole_partition("min", f"min(o_totalprice) {FRAME}", lambda w: F.min("o_totalprice").over(w))
 _whole_partition("max", f"max(o_totalprice) {FRAME}", lambda w: F.max("o_totalprice").over(w))
