@@ -16,6 +16,10 @@
    never all pairs. Stars merge by alternating large-star and small-star rounds,
    each written to the shared folder.
 
+The pipeline's stage links by a second rule as well: a Jaccard similarity of 0.8 of
+5-word shingles. Min-hash bands bring candidates together, and a bucket's texts are
+compared by their whole shingle sets; a bucket meets in one task.
+
 Joins back to documents are light rows (ids and fingerprints). Hot fingerprints meet
 a unique other side, and adaptive execution splits such partitions.
 
@@ -34,6 +38,12 @@ from pyspark.sql import functions as F
 from .common import sized_batches, stored
 
 RADIUS, SEED, SHARD = 3, 42, 2048
+#: The pipeline's rule: texts whose sets of WIDTH-word shingles have a Jaccard similarity of SIMILAR at least.
+WIDTH, SIMILAR = 5, 0.8
+#: BANDS keys of ROWS min-hashes each: a pair at SIMILAR shares none with probability (1 - 0.8 ** 6) ** 32 = 0.00006.
+BANDS, ROWS = 32, 6
+#: Bits of the bitmap of lines that are candidates.
+MARKS = 1 << 26
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,21 +51,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit fingerprint of a text."""
+def shingle_hashes(words: list[bytes], width: int):
+    """Hashes of the runs of `width` words, repeats included; all words as one run if they are fewer."""
     import numpy as np
     import xxhash
 
-    words = words_of(text)
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - [len(w) for w in words])[: 1 - width].tolist()
     one = xxhash.xxh64_intdigest
-    hashes = np.array([one(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+    return np.array([one(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes) -> int:
+    """64 bits; a bit is 1 if over half of the hashes have it."""
+    import numpy as np
+
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):  # a very long text stays within bounded memory
         part = hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8)
@@ -63,6 +76,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of a text."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, width)) if words else 0
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
     sized_batches(docs.sparkSession)
@@ -233,11 +252,142 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) for every row of docs (doc_id, text)."""
-    fps = stored(fingerprints(docs, width), "fingerprints")
+def band_keys(shingles) -> list[int]:
+    """BANDS keys (signed) of a set of shingle hashes; sets of similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS."""
+    import numpy as np
+    import xxhash
+
+    factors = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        np.minimum(least, (factors * shingles[k : k + 1024]).min(axis=1), out=least)
+    found = np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    return found.view(np.int64).tolist()
+
+
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, line (hash of the words) and keys (of bands; none for texts of WIDTH words or fewer)."""
+    sized_batches(docs.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            fps, lines, keys = [], [], []
+            for t in b.column("text"):
+                words = words_of(t.as_py())
+                fps.append(majority(shingle_hashes(words, 3)) if words else 0)
+                lines.append(line_hash(words))
+                keys.append(band_keys(np.unique(shingle_hashes(words, WIDTH))) if len(words) > WIDTH else [])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, lines)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "line", "keys"])
+
+    kind = "doc_id bigint, fp bigint, line bigint, keys array<bigint>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
+
+
+def line_hash(words: list[bytes]) -> int:
+    """A hash of the sequence of words."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED + 1)
+
+
+def shingle_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """line, fp and shingles (sorted 64-bit hashes) of the texts whose line is in lines, and of a few others: a bitmap of MARKS bits is broadcast."""
+    place = F.expr(f"(line & {MARKS - 1}) + 1")  # Spark's buckets count from 1
+    parts = lines.select(place.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
+    sent = docs.sparkSession.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in parts.toLocalIterator()})  # MARKS / 8 bytes at most
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        marks = sent.value
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                line = line_hash(words)
+                at = line & (MARKS - 1)
+                bits, k = marks.get(at // 32_768 + 1) if len(words) > WIDTH else None, at % 32_768
+                if bits and bits[k // 8] >> k % 8 & 1:
+                    out.append((line, majority(shingle_hashes(words, 3)), np.unique(shingle_hashes(words, WIDTH)).tobytes()))
+            longs = [pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([r[2] for r in out], pa.binary())], names=["line", "fp", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "line bigint, fp bigint, shingles binary")
+
+
+def similar_stars(texts: list[tuple[int, bytes]], similar: float) -> list[tuple[int, int]]:
+    """(member, first member) over fingerprints, so that all of a bucket's texts (fp, shingles) of at least this Jaccard similarity are connected."""
+    groups: list[list[tuple[int, set]]] = []
+    for fp, raw in texts:
+        mine = set(memoryview(raw).cast("Q"))
+        apart, joined = [], [(fp, mine)]
+        for g in groups:
+            for _, other in g:
+                few, many = sorted((len(mine), len(other)))
+                if few >= similar * many and (both := len(mine & other)) >= similar * (few + many - both):
+                    joined = g + joined
+                    break
+            else:
+                apart.append(g)
+        groups = [*apart, joined]
+    return [(fp, g[0][0]) for g in groups for fp, _ in g[1:] if fp != g[0][0]]
+
+
+def similar_links(docs: DataFrame, found: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Stars (a, b) over fingerprints that connect the texts of docs that share a band's key (found: their prints) and are verified by exact Jaccard similarity.
+
+    Texts of one word sequence are one row; of the buckets that hold the same texts one is kept. Shingle sets
+    are made again for candidates alone, so the sets of all texts are never stored or shuffled.
+    """
+    texts = found.where("size(keys) > 0").groupBy("line").agg(F.first("keys").alias("keys"))
+    rows = stored(texts.select("line", F.explode("keys").alias("key")), "band-rows")
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("least"), F.bit_xor(F.xxhash64("line")).alias("all")).where("n > 1")
+    kept = stored(held.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key"), "buckets")
+    members = stored(rows.join(kept, "key"), "members")
+    sets = shingle_sets(docs, members.select("line").distinct()).groupBy("line").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = members.join(sets, "line").select("key", "fp", "shingles").repartition(n, "key").sortWithinPartitions("key")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, texts = None, []
+
+        def pairs():
+            out = similar_stars(texts, similar)
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+        for b in batches:
+            for k, fp, raw in zip(b.column("key").to_pylist(), b.column("fp").to_pylist(), b.column("shingles").to_pylist()):
+                if k != key:
+                    if len(texts) > 1:
+                        yield pairs()
+                    key, texts = k, []
+                texts.append((fp, raw))
+        if len(texts) > 1:
+            yield pairs()
+
+    return buckets.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, similar: float | None = None) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) for every row of docs (doc_id, text).
+
+    With `similar`, texts of at least this Jaccard similarity of WIDTH-word shingles are linked as well.
+    """
+    if similar is None:
+        fps = stored(fingerprints(docs, width), "fingerprints")
+    else:
+        found = stored(prints(docs), "prints")
+        fps = found.select("doc_id", "fp")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    edges = links(distinct.select("fp"), radius)
+    roots = components(edges if similar is None else edges.union(similar_links(docs, found, similar)))
     nodes = roots.union(roots.select("root", "root").distinct())
     least = distinct.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = nodes.join(least, "root").select("fp", "component_id")
@@ -246,8 +396,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of docs without near-duplicates: of each group the row with the smallest doc_id stays (of repeated ids, all of that id; rows without an id stay)."""
-    found = near_duplicates(docs)
+    """Rows of docs without near-duplicates (links of op5 and of SIMILAR): of each group the row with the smallest doc_id stays (of repeated ids, all of that id; rows without an id stay)."""
+    found = near_duplicates(docs, similar=SIMILAR)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -256,6 +257,42 @@ def test_simhash_against_brute_force(docs, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id in (7, 8, 9, 12, 13)").collect()) == [7, 12]
 
 
+def test_stage_catches_edited_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 40):  # every copy has its own edits
+        edited = list(base)
+        for at in rng.sample(range(300), 4):
+            edited[at] = f"new{k}x{at}"
+        data.append((k, " ".join(edited)))
+    data += [(100 + k, " ".join(f"v{rng.randrange(5000)}" for _ in range(300))) for k in range(40)]
+    data += [(200, "one two three"), (201, "one two four"), (202, None)]
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    sets = [shingles(t) for i, t in data if i < 40]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)
+    fps = [slow_fingerprint(t) for i, t in data if i < 40]
+    assert sum((fps[0] ^ f).bit_count() > 3 for f in fps) > 10
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {0, *range(100, 140), 200, 201, 202}
+
+
+def test_similar_links_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {tuple((r["text"] or "").encode().lower().split()) for r in docs.select("text").collect()}
+    texts = [t for t in texts if len(t) > 5]
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    both = Counter(pair for some in holders.values() for pair in combinations(some, 2))
+    near = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    rows = spark.createDataFrame([(i, b" ".join(t).decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows, similar=0.8).collect()}
+    assert near and all(group[a] == group[b] for a, b in near)
+
+
 def test_links_lose_nothing(spark, monkeypatch):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(300)]
