@@ -46,6 +46,14 @@ def knn_join(t):
     return vector.knn_join(queries, t.embeddings, "vec_id", "vec_id", "embedding", 5).select("vec_id", "near_vec_id", F.round("vec_distance", 4).alias("dist"), "rank")
 
 
+@query("""SELECT q.vec_id, b.vec_id AS near_vec_id, round(list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS dist,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), b.vec_id)::BIGINT AS rank
+FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5""")
+def knn_join_hundredth(t):
+    queries = t.embeddings.where("vec_id % 100 = 0")
+    return vector.knn_join(queries, t.embeddings, "vec_id", "vec_id", "embedding", 5).select("vec_id", "near_vec_id", F.round("vec_distance", 4).alias("dist"), "rank")
+
+
 # full text. On this corpus the two engines' white space and edges agree.
 
 _TOK = r"list_distinct(list_filter(list_transform(regexp_split_to_array({x}, '\s+'), lambda w: lower(regexp_replace(w, '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g'))), lambda w: w <> ''))"
