@@ -5,8 +5,9 @@ block around them. Each host has one reference page (the least hash of its pages
 ids). Every page of the host is aligned with the reference by simple tree matching: two
 nodes of one tag match, children are matched in order by dynamic programming, and
 equal text counts extra so that constant nodes anchor the alignment. Over all pages
-of the host that differ from the reference, a node whose text is the reference's
-in at least CONSTANT of at least LEAST pages is template; other nodes are slots. A
+of the host that differ from the reference, aligned with the node or not, a node whose
+text is the reference's in at least CONSTANT of at least LEAST pages is template; other nodes
+are slots. A host that is nearly all near copies of one page counts each copy. A
 page's text is what stands in slots and in nodes that align with nothing.
 
 Roles come first: menus, headers, footers, sidebars, notices, adverts, forms,
@@ -320,7 +321,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
 
 def count_nodes(pages: DataFrame) -> DataFrame:
-    """host, node, n (pages that differ from the reference and align with the node) and same (those that repeat its text)."""
+    """host, node, n (pages that differ from the reference and align with the node) and same (those that repeat its text); node -2, which no tree has, has all pages of the host that differ."""
     import json
     from collections import Counter
     from sys import setrecursionlimit
@@ -344,6 +345,7 @@ def count_nodes(pages: DataFrame) -> DataFrame:
                     continue
                 pairs: list = []
                 match(reference, numbered(page), pairs)
+                n[host, -2] += 1
                 n.update((host, a) for a, _, _ in pairs)
                 same.update((host, a) for a, _, equal in pairs if equal)
             keys = list(n)
@@ -356,8 +358,9 @@ def count_nodes(pages: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame, constant: float = CONSTANT, least: int = LEAST) -> DataFrame:
     """host, tree and template (numbers of the reference's template nodes) for pages (host, rank, html)."""
     trees = stored(skeletons(pages.where("host <> ''")), "skeletons")
-    counts = count_nodes(pages.join(trees, "host"))
-    fixed = counts.where((F.col("n") >= least) & (F.col("same") >= constant * F.col("n")))
+    counts = stored(count_nodes(pages.join(trees, "host")), "node-counts")
+    whole = counts.where(f"node = -2 and n >= {int(least)}").select("host", F.col("n").alias("pages"))
+    fixed = counts.where("node <> -2").join(whole, "host").where(F.col("same") >= constant * F.col("pages"))
     fixed = fixed.groupBy("host").agg(F.collect_list("node").alias("template"))  # nodes of one page
     return stored(trees.join(fixed, "host"), "wrappers")
 

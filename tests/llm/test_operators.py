@@ -443,6 +443,16 @@ def test_constant_nodes_are_template(spark, none):
     assert html_wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_late_paragraphs_of_a_long_reference_stay(spark):
+    ranked = [r[0] for r in spark.range(40).selectExpr("id", "xxhash64('page', id) AS h").orderBy("h").collect()]
+    story = lambda k: [f"paragraph {p} of the long article" if p != 3 + k else f"edited {k}" for p in range(12)]
+    brief = lambda k: [f"short story {k}", f"its end {k * 7}"]
+    body = {i: story(k) if k < 6 else brief(k) for k, i in enumerate(ranked)}  # the reference is the first, with five near copies
+    html = lambda lines: "<html><body><div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></body></html>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", html(x)) for i, x in body.items()], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()} == {i: " ".join(x) for i, x in body.items()}
+
+
 def test_tree_matching():
     number = html_wrappers.numbered
     a = number(["#main", 0, [["div", 0, [["p", 1, []], ["p", 2, []], ["p", 3, []]]]]])
