@@ -178,18 +178,36 @@ def cdc_debezium(t):
     return body.select("seq", F.get_json_object("body", "$.payload.op").alias("op"), F.get_json_object("body", "$.payload.after.event_type").alias("kind"))
 
 
+@query(_EV + "SELECT seq, CASE op WHEN 'insert' THEN 'c' WHEN 'update' THEN 'u' ELSE 'd' END AS op, CASE WHEN op <> 'delete' THEN event_type END AS kind FROM log")
+def cdc_debezium_whole(t):
+    body = ev.formatted(_log(t), "debezium")
+    return body.select("seq", F.get_json_object("body", "$.payload.op").alias("op"), F.get_json_object("body", "$.payload.after.event_type").alias("kind"))
+
+
 @query(_EV + "SELECT seq, upper(op) AS kind, CASE WHEN op <> 'insert' THEN event_type END AS old FROM log WHERE seq < 500")
 def cdc_supabase(t):
     body = ev.formatted(_log(t).where("seq < 500"), "supabase")
     return body.select("seq", F.get_json_object("body", "$.type").alias("kind"), F.get_json_object("body", "$.old_record.event_type").alias("old"))
 
 
+@query(_EV + "SELECT seq, upper(op) AS kind, CASE WHEN op <> 'insert' THEN event_type END AS old FROM log")
+def cdc_supabase_whole(t):
+    body = ev.formatted(_log(t), "supabase")
+    return body.select("seq", F.get_json_object("body", "$.type").alias("kind"), F.get_json_object("body", "$.old_record.event_type").alias("old"))
+
+
 @query(_EV + "SELECT seq, op, event_type AS kind FROM log WHERE seq < 500")
 def cdc_native(t):
     body = ev.formatted(_log(t).where("seq < 500"), "other")
     return body.select("seq", F.get_json_object("body", "$.op").alias("op"), F.get_json_object("body", "$.payload.event_type").alias("kind"))
 
 
+@query(_EV + "SELECT seq, op, event_type AS kind FROM log")
+def cdc_native_whole(t):
+    body = ev.formatted(_log(t), "other")
+    return body.select("seq", F.get_json_object("body", "$.op").alias("op"), F.get_json_object("body", "$.payload.event_type").alias("kind"))
+
+
 @query(_EV + "SELECT user_id, max(seq)::BIGINT AS seq, arg_max(op, seq) AS op FROM log GROUP BY user_id")
 def cdc_latest_per_key(t):
     user = F.get_json_object(F.coalesce("after", "before"), "$.user_id").cast("long")

@@ -93,6 +93,11 @@ def project_alias(t):
     return t.lineitem.where("l_orderkey < 50").select(c("l_orderkey").alias("k"), (c("l_extendedprice") * (1 - c("l_discount"))).alias("net"))
 
 
+@query("SELECT l_orderkey AS k, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def project_alias_whole(t):
+    return t.lineitem.select(c("l_orderkey").alias("k"), (c("l_extendedprice") * (1 - c("l_discount"))).alias("net"))
+
+
 @query("SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey")
 def qualified_star(t):
     return t.nation.alias("n").join(t.region.alias("r"), c("n_regionkey") == c("r_regionkey")).select("n.*", "r.r_name")
@@ -146,6 +151,11 @@ def unary_minus(t):
     return t.orders.where("o_orderkey < 20").select("o_orderkey", (-c("o_totalprice")).alias("minus"), (-(c("o_orderkey") + 1)).alias("m2"))
 
 
+@query("SELECT o_orderkey, -o_totalprice AS minus, -(o_orderkey + 1) AS m2 FROM orders")
+def unary_minus_whole(t):
+    return t.orders.select("o_orderkey", (-c("o_totalprice")).alias("minus"), (-(c("o_orderkey") + 1)).alias("m2"))
+
+
 # joins
 
 
@@ -383,6 +393,10 @@ def _keys(t):
     return t.supplier.select(c("s_nationkey").alias("k")), t.customer.where("c_custkey < 40").select(c("c_nationkey").alias("k"))
 
 
+def _whole_keys(t):
+    return t.supplier.select(c("s_nationkey").alias("k")), t.customer.select(c("c_nationkey").alias("k"))
+
+
 _S, _C = "SELECT s_nationkey AS k FROM supplier", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40"
 for _name, _f, _sql in (
     ("union_all", lambda a, b: a.unionAll(b), "UNION ALL"),
@@ -393,6 +407,7 @@ for _name, _f, _sql in (
     ("except_all", lambda a, b: a.exceptAll(b), "EXCEPT ALL"),
 ):
     query(f"{_S} {_sql} {_C}", name=_name)(lambda t, f=_f: f(*_keys(t)))
+    query(f"{_S} {_sql} SELECT c_nationkey AS k FROM customer", name=f"{_name}_whole")(lambda t, f=_f: f(*_whole_keys(t)))
 
 
 @query("(SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region) EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 5")
@@ -460,6 +475,12 @@ def cast_numbers(t):
     return rows.select("o_orderkey", exprs.cast_int(c("o_totalprice"), "double").alias("i"), c("o_orderkey").cast("double").alias("f"), exprs.cast_text(c("o_orderkey")).alias("s"))
 
 
+@query("SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS i, o_orderkey::DOUBLE AS f, o_orderkey::VARCHAR AS s FROM orders")
+def cast_numbers_whole(t):
+    rows = t.orders
+    return rows.select("o_orderkey", exprs.cast_int(c("o_totalprice"), "double").alias("i"), c("o_orderkey").cast("double").alias("f"), exprs.cast_text(c("o_orderkey")).alias("s"))
+
+
 @query("SELECT v, CASE WHEN lower(trim(v)) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true ELSE false END AS b FROM (VALUES ('true'), (' T '), ('on'), ('OFF'), ('0'), ('no')) x(v)")
 def cast_boolean(t):
     rows = t.spark.createDataFrame([("true",), (" T ",), ("on",), ("OFF",), ("0",), ("no",)], "v string")
@@ -472,6 +493,12 @@ def arith(t):
     return rows.select("l_orderkey", "l_linenumber", (c("l_orderkey") + c("l_linenumber") * 2).alias("a"), (c("l_orderkey") - 7).alias("s"), exprs.int_div("l_orderkey", "7").alias("d"), (c("l_orderkey") % 7).alias("m"))
 
 
+@query("SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber * 2)::BIGINT AS a, (l_orderkey - 7)::BIGINT AS s, (l_orderkey // 7)::BIGINT AS d, (l_orderkey % 7)::BIGINT AS m FROM lineitem")
+def arith_whole(t):
+    rows = t.lineitem
+    return rows.select("l_orderkey", "l_linenumber", (c("l_orderkey") + c("l_linenumber") * 2).alias("a"), (c("l_orderkey") - 7).alias("s"), exprs.int_div("l_orderkey", "7").alias("d"), (c("l_orderkey") % 7).alias("m"))
+
+
 @query("SELECT event_id, CAST(props->'k' AS VARCHAR) AS k FROM events")
 def json_get(t):
     return t.events.select("event_id", exprs.json_get(c("props"), "k").alias("k"))
@@ -485,3 +512,8 @@ def json_get_text(t):
 @query("SELECT event_id, (props->>'absent') IS NULL AS missing FROM events WHERE event_id < 100")
 def json_missing(t):
     return t.events.where("event_id < 100").select("event_id", exprs.json_get_text(c("props"), "absent").isNull().alias("missing"))
+
+
+@query("SELECT event_id, (props->>'absent') IS NULL AS missing FROM events")
+def json_missing_whole(t):
+    return t.events.select("event_id", exprs.json_get_text(c("props"), "absent").isNull().alias("missing"))

@@ -189,6 +189,12 @@ def rest_embed_forward(t):
     return df.select("o_orderkey", "customer.c_name", "customer.c_nationkey")
 
 
+@query("SELECT o_orderkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def rest_embed_forward_whole(t):
+    df = resource.collection(_tables(t), "orders", KEYS, "o_orderkey,customer(c_name,c_nationkey)")
+    return df.select("o_orderkey", "customer.c_name", "customer.c_nationkey")
+
+
 @query("SELECT c_custkey, count(o_orderkey)::BIGINT AS n, max(o_totalprice) AS top FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 150000) ON o_custkey = c_custkey GROUP BY c_custkey")
 def rest_embed_reverse(t):
     df = resource.collection(_tables(t), "customer", KEYS, "c_custkey,orders(o_orderkey,o_totalprice)", {"orders.o_totalprice": "gt.150000"}, "orders.o_totalprice.desc")

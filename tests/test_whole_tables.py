@@ -1,9 +1,12 @@
 """Registered queries whose work grows with their table."""
 
 import numpy as np
+import pytest
 
 from kelvane.plans import catalogue
 
+from .conftest import SF
+
 QUERIES = catalogue.queries()
 
 
@@ -17,3 +20,17 @@ def test_knn_join_takes_a_hundredth_of_the_rows(spark, tmp_path):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         want |= {(q, int(i), k + 1) for k, i in enumerate(np.lexsort((np.arange(3000), d))[:5])}
     assert len(got) == 150 and {(r["vec_id"], r["near_vec_id"], r["rank"]) for r in got} == want
+
+
+ONE_A_ROW = {"cast_numbers": "orders", "arith": "lineitem", "json_missing": "events", "project_alias": "lineitem", "unary_minus": "orders", "cdc_debezium": "events", "cdc_supabase": "events", "cdc_native": "events", "rest_embed_forward": "orders"}
+
+
+@pytest.mark.parametrize("name", sorted(ONE_A_ROW))
+def test_every_row_of_the_table(spark, name):
+    assert QUERIES[f"{name}_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/{ONE_A_ROW[name]}.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["union_all", "union", "intersect", "intersect_all", "except", "except_all"])
+def test_set_operations_take_all_customers(spark, duck, name):
+    want = duck.execute(f"SELECT s_nationkey AS k FROM supplier {name.upper().replace('_', ' ')} SELECT c_nationkey AS k FROM customer").fetchall()
+    assert sorted(tuple(r) for r in QUERIES[f"{name}_whole"](spark, SF).collect()) == sorted(want)
