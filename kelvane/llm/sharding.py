@@ -14,7 +14,7 @@ Documents keep their order in a file, so a flow is runs of rows of files. The
 driver holds one row a file and the flow; the plan's runs are broadcast, at most the
 files, twice the large documents and the flow's edges in number. Row sums are made
 by blocks of BLOCK rows, then over blocks. Text moves once: from the scan
-to the file that is rewritten. A shard that neither gives nor takes is not rewritten.
+to the file that is rewritten. Every shard is written, also one that neither gives nor takes.
 
 Defined results: a null text has 0 bytes and the crc of no bytes; null and repeated
 ids are rows like any other; an empty table has no rows; other columns stay in the files
