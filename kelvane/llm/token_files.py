@@ -7,9 +7,10 @@ word for an id of over 60 bits. Ids are coded in blocks of BLOCK; a block's last
 word may hold fewer ids than its selector could. A table of word offsets, one for
 each block, lets a reader decode any blocks at once with array operations.
 
-File (little-endian): MAGIC; uint64 numbers of documents, ids, blocks and words, and the largest id;
-doc_id int64 each (absent ids: flags say so); flag uint8 each; ids of each document
-uint64; block offsets uint64; words uint64.
+File (little-endian): MAGIC; words uint64; doc_id int64 each (absent ids: flags say so); flag uint8
+each; ids of each document uint64; block offsets uint64; uint64 numbers of documents, ids, blocks
+and words, and the largest id; MAGIC. What describes the words stands behind them, so a task writes words as
+its texts are encoded and a reader decodes some blocks at a time: neither holds a file's ids.
 
 Documents are range-partitioned by doc_id and sorted, so files are in ascending
 order. Every task writes its file whole under the shared folder, under a name that
@@ -27,13 +28,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, new_path, put_file, sized_batches, stored, worker_cache
+from .common import WS, file_system, new_path, put_file, sized_batches, stored, worker_cache
 
-MAGIC, BLOCK, END_ID = b"S8BTOK01", 256, 1
+MAGIC, BLOCK, END_ID = b"S8BTOK02", 256, 1
 #: Ids in a word, by selector; 0 marks the escape.
 COUNTS = (0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 
@@ -144,18 +146,23 @@ def decode(words, offsets, n: int, kind=None):
 
 
 class Chunks:
-    """Token ids of white-space-free chunks: the vocabulary drops white space, so a text's ids are its chunks' ids.
-
-    Ids are kept as packed integers, in two generations of at most `bound` chunks: what is
-    used moves to the young one, and when that is full the old one goes. A chunk that is one
-    Latin word, perhaps with full stops or commas behind, is that word's ids and those of the
-    marks. Such words need no normalising or splitting, so the library encodes
-    them many at a time with only its model; their last tokens end a word and show where they part.
+    """Token ids of texts, group by group, with what was learnt of words kept in arrays of bounded size.
+
+    The vocabulary drops white space, so a text's ids are its chunks' ids. A chunk that is one
+    Latin word, perhaps with ASCII marks behind, is that word's ids and those of the
+    marks; such words need no normalising or splitting, so the library encodes them many at a
+    time with only its model, and their last tokens end a word and show where they part. Other chunks
+    are encoded by the whole library. Words and other chunks of at most LONGEST bytes are remembered:
+    at most `bound` of them, as an Arrow array of keys, one array of ids and sorted hashes, 30 to 60 MB in all. When they are
+    more, the half that was looked up most stays. A hash finds a key, which is compared whole.
     """
 
-    TOGETHER = 500
+    TOGETHER, GROUP, LONGEST = 500, 4 << 20, 40
     #: A word of lower-case letters below U+0250 (every one a letter that normalising leaves as it is) and marks behind it.
-    LATIN = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([.,]*)")
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    LATIN = r"^[a-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{24f}]+[!-/:-@\[-`{-~]*$"
+    #: The one letter there whose lower case is two code points.
+    TWO = "\u0130"
     #: What a tokenizer's file must say for words to need only the model.
     NORMALIZERS, PATTERN = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -164,6 +171,7 @@ class Chunks:
         import os
 
         import numpy as np
+        import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -173,12 +181,11 @@ class Chunks:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.model, self.bound = Tokenizer.from_file(path), bound
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.end = np.array([END_ID], self.kind).tobytes()
+        self.keys, self.pool = pa.array([], pa.string()), np.empty(0, self.kind)
+        self.start, self.length, self.used = (np.empty(0, np.int32) for _ in range(3))
+        self.hashes, self.entry = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.marks: dict[str, object] = {}
         said = json.loads(self.model.to_str())
         suffix = said["model"].get("end_of_word_suffix")
         kinds = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
@@ -193,142 +200,318 @@ class Chunks:
             for token, k in self.model.get_vocab().items():
                 self.ends[k] = token.endswith(suffix)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _words(self, words: list[str]):
+        """(ids, lengths) of plain words."""
         import numpy as np
 
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_words(self, new: list[str]) -> None:
+        out, lengths = [], []
+        for k in range(0, len(words), 64 * self.TOGETHER):
+            groups = [words[j : j + self.TOGETHER] for j in range(k, min(len(words), k + 64 * self.TOGETHER), self.TOGETHER)]
+            for g, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.kind)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(g):
+                    raise ValueError("a word's tokens don't end in one that ends a word")
+                out.append(ids)
+                lengths.append(np.diff(cuts, prepend=0))
+        return out, lengths
+
+    def _others(self, chunks: list[str]):
+        """(ids, lengths) of chunks of any kind."""
         import numpy as np
 
-        width = np.dtype(self.kind).itemsize
-        groups = [new[k : k + self.TOGETHER] for k in range(0, len(new), self.TOGETHER)]
-        for g, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
-            raw = ids.tobytes()
-            if len(cuts) != len(g):
-                raise ValueError("a word's tokens don't end in one that ends a word")
-            self.words.update(zip(g, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Put chunks that the young generation lacks into it."""
-        young, old, words, latin = self.young, self.old, self.words, self.LATIN.fullmatch
-        single, made, new = [], [], {}
-        for c in chunks:
-            if (v := old.get(c)) is not None:
-                young[c] = v
-                continue
-            text = c.decode("utf-8", "replace")
-            m = latin(text.lower()) if self.plain else None
-            if m is None:
-                single.append((c, text))
-                continue
-            word = m[1]
-            made.append((c, word, m[2]))
-            if word not in words:
-                if (v := self.old_words.get(word)) is not None:
-                    words[word] = v
-                else:
-                    new[word] = None
-        if new:
-            self._learn_words(list(new))
-        for marks in {m for _, _, m in made if m}:
-            if marks not in words:
-                words[marks] = self._encode([marks])[0]
-        for c, word, marks in made:
-            young[c] = words[word] + words[marks] if marks else words[word]
-        if single:
-            young.update(zip((c for c, _ in single), self._encode([t for _, t in single])))
+        out, lengths = [], []
+        for k in range(0, len(chunks), 4096):
+            for e in self.model.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False):
+                ids = np.array(e.ids, self.kind)
+                out.append(ids)
+                lengths.append([len(ids)])
+        return out, lengths
+
+    def _look_up(self, keys, plain):
+        """(start, length, pool): where the ids of each distinct key are; plain: whether it is a plain word."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        hashes = hashes_of(keys)
+        lacks, place = np.ones(len(keys), bool), np.zeros(len(keys), np.int32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            place = self.entry[at]
+            lacks = (self.hashes[at] != hashes) | ~np.asarray(pc.equal(self.keys.take(pa.array(place)), keys))
+        self.used[place[~lacks]] += 1
+        if not lacks.any():
+            return self.start[place], self.length[place], self.pool
+        words, others = np.flatnonzero(lacks & plain), np.flatnonzero(lacks & ~plain)
+        a, b = self._words(keys.take(pa.array(words)).to_pylist()), self._others(keys.take(pa.array(others)).to_pylist())
+        new = np.r_[words, others]
+        length = np.concatenate([*a[1], *b[1]]).astype(np.int32)
+        first = (np.cumsum(length) - length + len(self.pool)).astype(np.int32)
+        pool = np.concatenate([self.pool, *a[0], *b[0]])
+        start, lengths = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
+        start[~lacks], lengths[~lacks] = self.start[place[~lacks]], self.length[place[~lacks]]
+        start[new], lengths[new] = first, length
+        self._keep(keys.take(pa.array(new)), hashes[new], first, length, pool)
+        return start, lengths, pool
+
+    def _keep(self, keys, hashes, first, length, pool) -> None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        short = np.asarray(pc.less_equal(pc.binary_length(keys), self.LONGEST))
+        all_keys = pa.concat_arrays([self.keys, keys.filter(pa.array(short))])
+        start, lengths = np.r_[self.start, first[short]], np.r_[self.length, length[short]]
+        used = np.r_[self.used, np.zeros(int(short.sum()), np.int32)]
+        order = np.argsort(hashes[short], kind="stable")
+        sorted_new = hashes[short][order]
+        at = np.searchsorted(self.hashes, sorted_new)
+        table = np.insert(self.hashes, at, sorted_new)
+        entry = np.insert(self.entry, at, (order + len(self.keys)).astype(np.int32))
+        if len(all_keys) > self.bound:
+            stay = np.sort(np.argsort(-used, kind="stable")[: self.bound // 2])
+            moved = np.full(len(all_keys), -1, np.int32)
+            moved[stay] = np.arange(len(stay), dtype=np.int32)
+            on = moved[entry] >= 0
+            table, entry = table[on], moved[entry[on]]
+            all_keys, start, lengths, used = all_keys.take(pa.array(stay)), start[stay], lengths[stay], used[stay] // 2
+            pool = gathered(start, lengths, pool)
+            start = (np.cumsum(lengths) - lengths).astype(np.int32)
+        self.keys, self.start, self.length, self.used, self.pool, self.hashes, self.entry = all_keys, start, lengths, used, pool, table, entry
+
+    def group(self, texts):
+        """(length of each text, all ids in order) for an Arrow array of texts; the end id isn't added."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(texts)
+        at = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(parts), np.int64))]
+        found = parts.flatten().dictionary_encode()
+        which, chunks = found.indices.to_numpy(), found.dictionary
+        lower = pc.utf8_lower(chunks)
+        plain = np.asarray(pc.match_substring_regex(lower, self.LATIN)) & ~np.asarray(pc.match_substring(chunks, self.TWO)) & (self.plain is not None)
+        stem = pc.utf8_rtrim(lower, self.MARKS)
+        keys = pc.if_else(pa.array(plain), stem, chunks).dictionary_encode()
+        key_of = keys.indices.to_numpy()
+        key_plain = np.zeros(len(keys.dictionary), bool)
+        key_plain[key_of] = plain
+        start, length, pool = self._look_up(keys.dictionary, key_plain)
+        # marks behind plain words
+        marked = np.flatnonzero(plain & (np.asarray(pc.binary_length(stem)) < np.asarray(pc.binary_length(lower))))
+        tails = [t[k:] for t, k in zip(lower.take(pa.array(marked)).to_pylist(), pc.utf8_length(stem.take(pa.array(marked))).to_pylist())]
+        if len(self.marks) > 1000:
+            self.marks.clear()
+        for t in set(tails).difference(self.marks):
+            self.marks[t] = self._others([t])[0][0]
+        names = sorted(set(tails))
+        number = {t: k + 1 for k, t in enumerate(names)}
+        mark_length = np.array([0, *(len(self.marks[t]) for t in names)], np.int32)
+        mark_start = (np.cumsum(mark_length) - mark_length + len(pool)).astype(np.int32)
+        pool = np.concatenate([pool, *(self.marks[t] for t in names)])
+        mark_of = np.zeros(len(chunks), np.int32)
+        mark_of[marked] = [number[t] for t in tails]
+        starts = np.stack([start[key_of], mark_start[mark_of]], axis=1)[which].ravel()
+        lengths = np.stack([length[key_of], mark_length[mark_of]], axis=1)[which].ravel()
+        upto = np.r_[0, np.cumsum(lengths)][::2]
+        return np.diff(upto[at]), gathered(starts, lengths, pool)
+
+    def stream(self, batches):
+        """(number of the first text, lengths, ids) in order, for Arrow arrays of texts, in groups of about GROUP bytes; a longer text comes in pieces, the end id last."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, size, first = [], 0, 0
+
+        def group():
+            lengths, ids = self.group(pa.concat_arrays(held))
+            return first, (lengths + 1).tolist(), np.insert(ids, np.cumsum(lengths), END_ID)
+
+        for texts in batches:
+            texts = pc.fill_null(texts, "")
+            sizes = np.asarray(pc.binary_length(texts)).tolist()
+            begin = 0
+            for k, b in enumerate(sizes):
+                if held or k > begin:
+                    if size + b > self.GROUP:
+                        held.append(texts[begin:k])
+                        yield group()
+                        first += sum(map(len, held))
+                        held, size, begin = [], 0, k
+                size += b
+                if b > self.GROUP:
+                    for last, piece in pieces(texts[k].as_py(), self.GROUP // 4):
+                        _, ids = self.group(pa.array([piece], pa.string()))
+                        yield first, [len(ids) + last], np.r_[ids, np.full(int(last), END_ID, self.kind)]
+                    first, size, begin = first + 1, 0, k + 1
+            if begin < len(texts):
+                held.append(texts[begin:])
+        if held:
+            yield group()
 
     def ids_of(self, texts: list[str | None]) -> list:
         """Arrays of ids, the end id last."""
-        import gc
-
         import numpy as np
+        import pyarrow as pa
 
-        gc.disable()  # many small objects, none in cycles
-        if len(self.young) > self.bound:
-            self.old, self.young = self.young, {}
-            self.old_words, self.words = self.words, {}
-        young, new, found = self.young, set(), []
-        for t in texts:
-            chunks = (t or "").encode("utf-8", "surrogatepass").split()
-            ids = list(map(young.get, chunks))
-            if None in ids:
-                lacks = [k for k, v in enumerate(ids) if v is None]
-                lack = [chunks[k] for k in lacks]
-                new.update(lack)
-                found.append((ids, lacks, lack))
-            else:
-                found.append((ids, (), ()))
-        if new:
-            self._learn(new)
-        out = []
-        for ids, lacks, lack in found:
-            for k, c in zip(lacks, lack):
-                ids[k] = young[c]
-            ids.append(self.end)
-            out.append(np.frombuffer(b"".join(ids), self.kind))
-        gc.enable()
-        return out
+        out: list[list] = [[] for _ in texts]
+        for k, lengths, ids in self.stream([pa.array(texts, pa.string())]):
+            for j, part in enumerate(np.split(ids, np.cumsum(lengths)[:-1])):
+                out[k + j].append(part)
+        return [np.concatenate(x) for x in out]
 
     def ids(self, text: str | None):
         return self.ids_of([text])[0]
 
 
+def hashes_of(texts):
+    """A 64-bit hash of each text of an Arrow array."""
+    import numpy as np
+    from pandas.util import hash_array
+
+    return hash_array(np.asarray(texts.to_numpy(zero_copy_only=False), object), categorize=False) if len(texts) else np.empty(0, np.uint64)
+
+
+def gathered(starts, lengths, pool):
+    """pool[start : start + length] of every run, one behind the other."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    at = np.repeat((starts + lengths - ends).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at]
+
+
+def pieces(text: str, size: int):
+    """(whether it is the last, piece) of a long text, cut behind white space at or after every `size` characters."""
+    at = 0
+    while True:
+        cut = re.compile(WS).search(text, at + size)
+        yield cut is None, text[at : cut.end() if cut else len(text)]
+        if cut is None:
+            return
+        at = cut.end()
+
+
 def file_name(folder: str, part: int) -> str:
     return f"{folder}/part-{part:06d}.s8b"
 
 
+class Writer:
+    """A token file's content, written as ids come: at most STEP blocks of ids are held, and a few numbers a document and block."""
+
+    STEP = 1024
+
+    def __init__(self, out):
+        import numpy as np
+
+        self.out, self.ids, self.held, self.offsets, self.words, self.count, self.largest = out, [], 0, [], 0, 0, 0
+        self.lengths, self.names = [], []
+        self.np = np
+        out.write(MAGIC)
+
+    def add(self, ids) -> None:
+        self.ids.append(ids)
+        self.held += len(ids)
+        if self.held >= self.STEP * BLOCK:
+            self._flush(self.held // BLOCK * BLOCK)
+
+    def _flush(self, n: int) -> None:
+        np = self.np
+        flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint32)
+        for k in range(0, n, self.STEP * BLOCK):
+            words, offsets = encode(flat[k : min(n, k + self.STEP * BLOCK)])
+            self.offsets.append(offsets + np.uint64(self.words))
+            self.words += len(words)
+            self.out.write(words.astype("<u8", copy=False).tobytes())
+        self.count += n
+        self.largest = max(self.largest, int(flat[:n].max(initial=0)))
+        self.ids, self.held = [flat[n:].copy()], len(flat) - n
+
+    def close(self) -> None:
+        np = self.np
+        self._flush(self.held)
+        for values, kind in (([i or 0 for i in self.names], "<i8"), ([i is None for i in self.names], "u1"), (self.lengths, "<u8")):
+            self.out.write(np.array(values, kind).tobytes())
+        for part in self.offsets:
+            self.out.write(part.astype("<u8", copy=False).tobytes())
+        self.out.write(struct.pack("<5Q", len(self.names), self.count, sum(map(len, self.offsets)), self.words, self.largest) + MAGIC)
+
+
 def write_file(uri: str, ids: list, lengths: list[int], folder_ids: list) -> int:
     """One token file; ids: arrays in order. Returns its bytes."""
-    import numpy as np
-
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    words, offsets = [], []
-    base, step = 0, BLOCK * 1024
-    for k in range(0, len(flat), step):
-        w, o = encode(flat[k : k + step])
-        words.append(w)
-        offsets.append(o + np.uint64(base))
-        base += len(w)
 
     def write(out):
-        out.write(MAGIC + struct.pack("<5Q", len(lengths), len(flat), sum(map(len, offsets)), base, int(flat.max(initial=0))))
-        out.write(np.array([i or 0 for i in folder_ids], "<i8").tobytes())
-        out.write(np.array([i is None for i in folder_ids], np.uint8).tobytes())
-        out.write(np.array(lengths, "<u8").tobytes())
-        for part in (*offsets, *words):
-            out.write(part.astype("<u8", copy=False).tobytes())
+        w = Writer(out)
+        w.lengths, w.names = lengths, folder_ids
+        for x in ids:
+            w.add(x)
+        w.close()
 
     return put_file(uri, write)
 
 
+class Reader:
+    """A token file's documents; ids are read and decoded some blocks at a time."""
+
+    TAIL = 48
+
+    def __init__(self, uri: str):
+        import numpy as np
+
+        store, path = file_system(uri)
+        self.file = store.open_input_file(path)
+        size = self.file.size()
+        self.file.seek(max(0, size - self.TAIL))
+        tail = self.file.read()
+        if size < self.TAIL + 8 or tail[-8:] != MAGIC:
+            raise ValueError(f"{uri} is not a token file")
+        docs, self.n, self.blocks, self.words, self.largest = struct.unpack_from("<5Q", tail)
+        self.file.seek(8 + 8 * self.words)
+        raw = self.file.read(17 * docs + 8 * self.blocks)
+        flags = np.frombuffer(raw, np.uint8, docs, 8 * docs)
+        self.names = [None if f else int(i) for i, f in zip(np.frombuffer(raw, "<i8", docs), flags)]
+        self.lengths = np.frombuffer(raw, "<u8", docs, 9 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(raw, "<u8", self.blocks, 17 * docs)
+
+    def steps(self, step: int = 1024):
+        """All ids in order, `step` blocks at a time."""
+        import numpy as np
+
+        kind = np.uint32 if self.largest < 1 << 32 else np.uint64
+        for k in range(0, self.blocks, step):
+            stop = min(self.blocks, k + step)
+            a, b = int(self.offsets[k]), int(self.offsets[stop]) if stop < self.blocks else self.words
+            self.file.seek(8 + 8 * a)
+            words = np.frombuffer(self.file.read(8 * (b - a)), "<u8")
+            yield decode(words, self.offsets[k:stop] - self.offsets[k], min(self.n, stop * BLOCK) - k * BLOCK, kind)
+
+    def documents(self):
+        """(place of a document, part of its ids, whether it is the last part) in order."""
+        import numpy as np
+
+        ends, doc, at = np.cumsum(self.lengths).tolist(), 0, 0
+        for flat in self.steps():
+            lo, stop = 0, at + len(flat)
+            while doc < len(ends) and ends[doc] <= stop:
+                yield doc, flat[lo : ends[doc] - at], True
+                lo = ends[doc] - at
+                doc += 1
+            if lo < len(flat):
+                yield doc, flat[lo:], False
+            at = stop
+        self.file.close()
+
+
 def read_file(uri: str):
     """(doc_ids, lengths, ids) of one token file."""
     import numpy as np
 
-    store, path = file_system(uri)
-    with store.open_input_stream(path, compression=None) as f:
-        raw = f.read()
-    if raw[:8] != MAGIC:
-        raise ValueError(f"{uri} is not a token file")
-    docs, n, blocks, words, largest = struct.unpack_from("<5Q", raw, 8)
-    at = 48
-    ids = np.frombuffer(raw, "<i8", docs, at)
-    flags = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs)
-    lengths = np.frombuffer(raw, "<u8", docs, at := at + docs)
-    offsets = np.frombuffer(raw, "<u8", blocks, at := at + 8 * docs)
-    packed = np.frombuffer(raw, "<u8", words, at + 8 * blocks)
-    kind = np.uint32 if largest < 1 << 32 else np.uint64
-    flat = np.empty(n, kind)
-    step = 1024
-    for k in range(0, blocks, step):
-        stop = min(blocks, k + step)
-        a, b = int(offsets[k]), int(offsets[stop]) if stop < blocks else words
-        flat[k * BLOCK : stop * BLOCK] = decode(packed[a:b], offsets[k:stop] - offsets[k], min(n, stop * BLOCK) - k * BLOCK, kind)
-    return [None if f else int(i) for i, f in zip(ids, flags)], lengths.astype(np.int64), flat
+    found = Reader(uri)
+    parts = list(found.steps())
+    return found.names, found.lengths, np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None) -> DataFrame:
@@ -344,18 +527,33 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         import pyarrow as pa
         from pyspark import TaskContext
 
-        chunks = worker_cache(f"chunks {tokenizer_path}", lambda: Chunks(tokenizer_path))
-        ids, lengths, names = [], [], []
-        for b in batches:
-            names += b.column("doc_id").to_pylist()
-            for found in chunks.ids_of(b.column("text").to_pylist()):
-                ids.append(found)
-                lengths.append(len(found))
-        if names:
-            part = TaskContext.get().partitionId()
-            uri = file_name(folder, part)
-            size = write_file(uri, ids, lengths, names)
-            yield pa.RecordBatch.from_pydict({"path": [uri], "part": [part], "n_docs": [len(names)], "n_ids": [sum(lengths)], "bytes": [size]})
+        batches = iter(batches)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        encoder = worker_cache(f"encoder {tokenizer_path}", lambda: Chunks(tokenizer_path))
+        part = TaskContext.get().partitionId()
+        uri, found = file_name(folder, part), []
+
+        def write(out):
+            w = Writer(out)
+
+            def texts():
+                for b in chain([first], batches):
+                    w.names += b.column("doc_id").to_pylist()
+                    w.lengths += [0] * b.num_rows
+                    yield b.column("text")
+
+            for k, lengths, ids in encoder.stream(texts()):
+                for j, n in enumerate(lengths, k):
+                    w.lengths[j] += n
+                w.add(ids)
+            w.close()
+            found.append((len(w.names), w.count))
+
+        size = put_file(uri, write)
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_pydict({"path": [uri], "part": [part], "n_docs": [found[0][0]], "n_ids": [found[0][1]], "bytes": [size]})
 
     files = stored(rows.mapInArrow(run, "path string, part bigint, n_docs bigint, n_ids bigint, bytes bigint"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -367,22 +565,30 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     sized_batches(manifest.sparkSession, 500)
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         for b in batches:
-            for uri, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist()):
-                ids, lengths, flat = read_file(uri)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                small = flat.astype("<u4", copy=False)
-                for k in range(0, len(ids), 2000):
-                    a, e = starts[k : k + 2000], ends[k : k + 2000]
-                    out = {"doc_id": pa.array(ids[k : k + 2000], pa.int64()), "start": pa.array(base + a), "n_tokens": pa.array(e - a)}
-                    out["ids_crc32"] = pa.array([zlib.crc32(small[x:y].tobytes()) for x, y in zip(a.tolist(), e.tolist())], pa.int64())
+            for uri, start in zip(b.column("path").to_pylist(), b.column("base").to_pylist()):
+                source, rows, crc, ids = Reader(uri), [], 0, []
+                for doc, part, last in source.documents():
+                    part = part.astype("<u4", copy=False)
+                    crc = zlib.crc32(part, crc)
                     if with_ids:
-                        out["ids"] = pa.array([small[x:y].tolist() for x, y in zip(a.tolist(), e.tolist())], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_pydict(out)
+                        ids += part.tolist()
+                    if last:
+                        n = int(source.lengths[doc])
+                        rows.append((source.names[doc], start, n, crc, ids))
+                        start, crc, ids = start + n, 0, []
+                    if len(rows) >= 2000:
+                        yield batch(rows)
+                        rows = []
+                if rows:
+                    yield batch(rows)
+
+    def batch(rows):
+        import pyarrow as pa
+
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
+        kinds |= {"ids": pa.list_(pa.int64())} if with_ids else {}
+        return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())})
 
     files = manifest.select("path", "base").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids

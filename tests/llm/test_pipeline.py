@@ -14,6 +14,21 @@ from .test_operators import slow_components, slow_fingerprint, slow_mix, words
 SF = "/root/testdata/sf0.001"
 
 
+def slow_groups(texts):
+    """Component of each text: fingerprints within three bits, or five-word shingle sets of Jaccard similarity 0.8 at least."""
+    tops = list(slow_components([slow_fingerprint(t) for t in texts]))
+    sets = []
+    for t in texts:
+        w = words((t or "").lower())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 5 else set())
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and tops[a] != tops[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = tops[a], tops[b]
+                tops = [new if t == old else t for t in tops]
+    return tops
+
+
 def test_stages(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -30,7 +45,7 @@ def test_stages(spark):
     assert {r["doc_id"] for r in got} == want and kept.columns == docs.columns and 0 < len(want) < len(all_rows)
 
     one = deduplicate(spark, kept, SF)
-    tops = slow_components([slow_fingerprint(r["text"]) for r in got])
+    tops = slow_groups([r["text"] for r in got])
     least = {}
     for r, t in zip(got, tops):
         least[t] = min(least.get(t, r["doc_id"]), r["doc_id"])
