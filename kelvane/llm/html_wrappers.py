@@ -1,23 +1,30 @@
 """Operator 8: main text of pages by wrapper induction.
 
 A page is parsed into a tree of elements; inline elements and text belong to the
-block around them. Each host has one reference page (the least hash of its pages'
-ids). Every page of the host is aligned with the reference by simple tree matching: two
-nodes of one tag match, children are matched in order by dynamic programming, and
-equal text counts extra so that constant nodes anchor the alignment. Over all pages
-of the host that differ from the reference, aligned with the node or not, a node whose
-text is the reference's in at least CONSTANT of at least LEAST pages is template; other nodes
-are slots. A host that is nearly all near copies of one page counts each copy. A
-page's text is what stands in slots and in nodes that align with nothing.
-
-Roles come first: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are out by tag, role, class or id, even where
-their words vary; if a page has articles (or a main element) only these count.
+block around them. Each host has a reference page: of CANDIDATES pages (least hashes of
+their ids) the one that aligns best with the others, so an empty page or an error page is none. Every page of
+the host is aligned with the reference by simple tree matching: two nodes of one tag match,
+children are matched in order by dynamic programming, and equal text counts extra so that constant
+nodes anchor the alignment. Of siblings whose table would have more than CELLS cells those that are equal and unique on both
+sides are matched first, and what lies between is matched in order by tag.
+
+Over all pages of the host that differ from the reference, aligned with the node or not, a node whose
+text is the reference's in at least CONSTANT of at least LEAST pages is template. Other
+nodes are slots, and what they hold is counted. The content is the smallest subtree that holds REGION of all text in
+slots; slots outside it (menus and adverts whose words vary, lists of links) are boilerplate. A page's text is
+that of its node aligned with that subtree, without template. If constant nodes hold over COPIES of a
+host's content its pages are near copies of one page, and what they share isn't template.
+
+Roles break ties: text in elements that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts or reader comments by tag, role, class or id isn't counted and is left out within the content as well; a content
+inside an article or main element is that element; an article or a first-level heading
+outside stays if the reference has nothing like it. Roles alone decide for pages whose host has too few pages, or no
+such subtree, and for a page that has nothing aligned with it.
 
 Only counts of (host, node) and one skeleton for each host are gathered: pages meet
 their host's skeleton in an equi-join, which Spark broadcasts while the skeletons
 are small and whose hot hosts adaptive execution splits beyond. Pages are read
-twice; their html is never stored again.
+twice; their html is never stored again. Trees are walked without recursion.
 
 Defined results: a null or empty page has the empty text; a page without markup is
 its text; a null url has a host of its own kind (null) whose pages are aligned with
@@ -35,12 +42,16 @@ from pyspark.sql import functions as F
 
 from .common import sized_batches, stored
 
-#: Share of a host's other pages that must repeat a node's text, and the fewest pages that can tell.
-CONSTANT, LEAST = 0.9, 5
+#: Share of a host's other pages that must repeat a node's text, the fewest pages that can tell, and the share of slots' text in the content.
+CONSTANT, LEAST, REGION = 0.9, 5, 0.9
+#: The share of constant text above which pages are near copies, the pages a reference is chosen from, and the cells of a table of siblings.
+COPIES, CANDIDATES, CELLS = 0.8, 5, 40_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp".split())
 OUT = frozenset("head title script style noscript template iframe svg canvas object nav aside form button select textarea input dialog menu footer".split())
+#: Elements whose text is never shown as text.
+NEVER = frozenset("head title script style noscript template iframe svg canvas object select textarea input button".split())
 BLOCKS = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside form "
     "fieldset blockquote pre figure figcaption address details summary hr hgroup center dialog menu".split()
@@ -150,6 +161,8 @@ def parse(html: str) -> Node:
         if tag in ENDS:
             ends, bar = ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
+                if not any(map(opened.get, ends)):
+                    break
                 if stack[k][0] in ends:
                     close(k)
                 elif stack[k][0] in bar or stack[k][0] in BLOCKS and stack[k][0] not in ("ul", "ol"):
@@ -194,107 +207,249 @@ def own_text(node: Node) -> str:
     return " ".join(unescape("".join(c if isinstance(c, str) else " " * (c.tag in BLOCKS) for c in node.children)).split())
 
 
-def skeleton(roots: list[Node]) -> list:
-    """[tag, hash of own text, children] of the main part, nodes numbered in page order."""
-    import zlib
+class Tree:
+    """A skeleton: tags, hashes and lengths of own texts, parents, children and whether roles leave a node out, in page order."""
+
+    def __init__(self, tags: list[str], hashes: list[int], lengths: list[int], parents: list[int], outs: list[int]):
+        self.tags, self.hashes, self.lengths, self.parents, self.outs = tags, hashes, lengths, parents, outs
+        self.kids: list[list[int]] = [[] for _ in tags]
+        for k, p in enumerate(parents):
+            if p >= 0:
+                self.kids[p].append(k)
+        self._whole: list[int] | None = None
+
+    def whole(self) -> list[int]:
+        """A hash of each subtree."""
+        if self._whole is None:
+            self._whole = [0] * len(self.tags)
+            for k in range(len(self.tags) - 1, -1, -1):
+                self._whole[k] = hash((self.tags[k], self.hashes[k], tuple(self._whole[c] for c in self.kids[k])))
+        return self._whole
+
+    def same(self, other: Tree) -> bool:
+        return self.hashes == other.hashes and self.tags == other.tags and self.parents == other.parents
+
+    def dump(self) -> str:
+        import json
+
+        return json.dumps([self.tags, self.hashes, self.lengths, self.parents, self.outs], separators=(",", ":"))
+
+    @classmethod
+    def load(cls, text: str) -> Tree:
+        import json
+
+        return cls(*json.loads(text))
 
-    count = 0
 
-    def of(node: Node) -> list:
-        nonlocal count
-        node.number = count
-        count += 1
+def skeleton(root: Node) -> tuple[Tree, list[Node]]:
+    """The tree of a page and its nodes, numbered in page order."""
+    import zlib
+
+    tags, hashes, lengths, parents, outs, nodes = [], [], [], [], [], []
+    stack = [(root, -1, False)]
+    while stack:
+        node, parent, out = stack.pop()
+        out = out or node.out
+        node.number = len(nodes)
         text = own_text(node)
-        return [node.tag, zlib.crc32(text.encode("utf-8", "replace")) if text else 0, [of(c) for c in node.children if isinstance(c, Node) and not c.out]]
-
-    return ["#main", 0, [of(r) for r in roots]]
-
-
-def numbered(tree: list) -> list:
-    """The same tree with each node's number in page order, as [tag, hash, children, number]."""
-    count = -2
-
-    def of(t: list) -> list:
-        nonlocal count
-        count += 1
-        n = count
-        return [t[0], t[1], [of(c) for c in t[2]], n]
-
-    return of(tree)
-
-
-def size_of(tree: list) -> int:
-    return 1 + sum(map(size_of, tree[2]))
-
-
-def match(a: list, b: list, pairs: list) -> int:
-    """Simple tree matching of two numbered trees; pairs gets (number in a, number in b, equal text) of the best alignment. Returns its weight."""
-    if a[0] != b[0]:
-        return 0
-    score, chosen = _match(a, b)
-    pairs += chosen
-    return score
-
-
-def _match(a: list, b: list) -> tuple[int, list]:
-    equal = a[1] == b[1]
-    here = 1 + (2 if equal and a[1] else 0)
-    first, second = a[2], b[2]
-    mine = [(a[3], b[3], equal)]
-    if not first or not second:
-        return here, mine
-    n, m = len(first), len(second)
-    below: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        x, row, last = first[i - 1], best[i], best[i - 1]
-        leaf = not x[2]
-        for j in range(1, m + 1):
-            y = second[j - 1]
-            w = 0
-            if x[0] == y[0]:
-                if leaf or not y[2]:
-                    w = 3 if x[1] == y[1] and x[1] else 1
+        tags.append(node.tag)
+        hashes.append(zlib.crc32(text.encode("utf-8", "replace")) or 1 if text else 0)
+        lengths.append(len(text))
+        parents.append(parent)
+        outs.append(int(out))
+        nodes.append(node)
+        stack += [(c, node.number, out) for c in reversed(node.children) if isinstance(c, Node) and c.tag not in NEVER]
+    return Tree(tags, hashes, lengths, parents, outs), nodes
+
+
+def increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing subsequence of distinct numbers."""
+    from bisect import bisect_left
+
+    tails, places, back = [], [], []
+    for k, v in enumerate(values):
+        at = bisect_left(tails, v)
+        back.append(places[at - 1] if at else -1)
+        tails[at:], places[at:] = [v, *tails[at + 1 :]], [k, *places[at + 1 :]]
+    out, k = [], places[-1] if places else -1
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def stretches(a: Tree, b: Tree, first: list[int], second: list[int]):
+    """Parts of two lists of siblings that are matched with each other."""
+    if len(first) * len(second) <= CELLS:
+        return [(first, second)]
+    from collections import Counter
+
+    x, y = a.whole(), b.whole()
+    once = Counter(x[k] for k in first), Counter(y[k] for k in second)
+    place = {y[k]: n for n, k in enumerate(second) if once[1][y[k]] == 1}
+    anchors = [(n, place[x[k]]) for n, k in enumerate(first) if once[0][x[k]] == 1 and x[k] in place]
+    anchors = [anchors[k] for k in increasing([j for _, j in anchors])]
+    out, i, j = [], 0, 0
+    for n, m in anchors:
+        out += [(first[i:n], second[j:m]), ([first[n]], [second[m]])]
+        i, j = n + 1, m + 1
+    return [*out, (first[i:], second[j:])]
+
+
+def in_order(a: Tree, b: Tree, first: list[int], second: list[int]) -> list[tuple[int, int]]:
+    """Siblings matched one after another by tag."""
+    out, j, waiting = [], 0, {}
+    for n, k in enumerate(second):
+        waiting.setdefault(b.tags[k], []).append(n)
+    at = dict.fromkeys(waiting, 0)
+    for x in first:
+        places = waiting.get(a.tags[x], ())
+        k = at.get(a.tags[x], 0)
+        while k < len(places) and places[k] < j:
+            k += 1
+        if k < len(places):
+            out.append((x, second[places[k]]))
+            j, k = places[k] + 1, k + 1
+        if places:
+            at[a.tags[x]] = k
+    return out
+
+
+def match(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
+    """(weight, pairs of node numbers) of the best alignment of two trees by simple tree matching."""
+
+    def solve(i: int, j: int):
+        first, second = a.kids[i], b.kids[j]
+        score, mine = 3 if a.hashes[i] == b.hashes[j] and a.hashes[i] else 1, []
+        for xs, ys in stretches(a, b, first, second) if first and second else ():
+            if len(xs) * len(ys) > CELLS:
+                for x, y in in_order(a, b, xs, ys):
+                    w, found = yield x, y
+                    score += w
+                    mine.append(found)
+                continue
+            n, m = len(xs), len(ys)
+            below: dict[tuple[int, int], tuple] = {}
+            best = [[0] * (m + 1) for _ in range(n + 1)]
+            for p in range(1, n + 1):
+                x, row, last = xs[p - 1], best[p], best[p - 1]
+                tag, own, leaf = a.tags[x], a.hashes[x], not a.kids[x]
+                for q in range(1, m + 1):
+                    y = ys[q - 1]
+                    w = 0
+                    if tag == b.tags[y]:
+                        if leaf or not b.kids[y]:
+                            w = 3 if own == b.hashes[y] and own else 1
+                        else:
+                            below[p, q] = yield x, y
+                            w = below[p, q][0]
+                    w += last[q - 1]
+                    row[q] = w if w > row[q - 1] and w >= last[q] else max(row[q - 1], last[q])
+            p, q = n, m
+            while p and q:
+                if best[p][q] == best[p - 1][q]:
+                    p -= 1
+                elif best[p][q] == best[p][q - 1]:
+                    q -= 1
                 else:
-                    below[i, j] = _match(x, y)
-                    w = below[i, j][0]
-            w += last[j - 1]
-            row[j] = w if w > row[j - 1] and w >= last[j] else max(row[j - 1], last[j])
-    i, j = n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+                    mine.append(below[p, q][1] if (p, q) in below else (xs[p - 1], ys[q - 1], ()))
+                    p, q = p - 1, q - 1
+            score += best[n][m]
+        return score, (i, j, mine)
+
+    stack, value = [solve(0, 0)], None
+    while stack:
+        try:
+            pair = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
         else:
-            x, y = first[i - 1], second[j - 1]
-            mine += below[i, j][1] if (i, j) in below else [(x[3], y[3], x[1] == y[1])]
-            i, j = i - 1, j - 1
-    return here + best[n][m], mine
+            stack.append(solve(*pair))
+            value = None
+    pairs, todo = [], [value[1]]
+    while todo:
+        i, j, more = todo.pop()
+        pairs.append((i, j))
+        todo += more
+    return value[0], pairs
+
+
+class Wrapper:
+    """A host's reference, its template nodes and the node of its content (None if roles must decide)."""
+
+    def __init__(self, tree: Tree, pages: int, same: dict[int, int], mass: dict[int, int], constant: float = CONSTANT, region: float = REGION):
+        self.tree, self.region = tree, None
+        self.template = {k for k, n in same.items() if tree.hashes[k] and n >= constant * pages}
+        total = [mass.get(k, 0) for k in range(len(tree.tags))]
+        for k in range(len(total) - 1, 0, -1):
+            total[tree.parents[k]] += total[k]
+        k = 0
+        while total[0] and (below := next((c for c in tree.kids[k] if total[c] >= region * total[0]), None)):
+            k = below
+        up = k
+        while up > 0 and tree.tags[up] not in ("article", "main"):
+            up = tree.parents[up]
+        k = up if up > 0 else k
+        if tree.tags[k] not in ("#root", "html", "body"):
+            self.region = k
+        inside = [n for n in self.template if self.within(n, k)]
+        held = sum(tree.lengths[n] * same[n] for n in inside)
+        if held > COPIES * (held + total[k]):
+            self.template -= set(inside)
+
+    def within(self, node: int, top: int) -> bool:
+        while node > top:
+            node = self.tree.parents[node]
+        return node == top
+
+    def text(self, root: Node) -> str:
+        """The main text of a page of the host."""
+        page, nodes = skeleton(root)
+        _, pairs = match(self.tree, page)
+        gone = {j for i, j in pairs if i in self.template and self.tree.hashes[i] == page.hashes[j]}
+        roots = main_roots(root)
+        if self.region is not None and (found := next((j for i, j in pairs if i == self.region), None)) is not None:
+            aligned = {j for _, j in pairs}
+            chosen = {found}
+            for k, tag in enumerate(page.tags):  # ties: what the reference knows nothing of, and titles
+                if not page.outs[k] and (tag == "article" and k not in aligned or tag == "h1" and k < found and k not in gone):
+                    chosen.add(k)
+            roots, last = [], -1
+            for k in sorted(chosen):  # subtrees are runs of numbers: what lies in a chosen one isn't taken again
+                if k > last:
+                    roots.append(nodes[k])
+                    last = self._last(page, k)
+        text = text_of(roots, gone)
+        return text or text_of(main_roots(root), set())
+
+    @staticmethod
+    def _last(page: Tree, k: int) -> int:
+        while page.kids[k]:
+            k = page.kids[k][-1]
+        return k
 
 
 def text_of(roots: list[Node], template: set[int]) -> str:
     """Text of the main part without template nodes' own text, blocks joined by one space."""
     parts: list[str] = []
-
-    def walk(node: Node) -> None:
-        run: list[str] = []
-        for c in node.children:
+    for r in roots:
+        stack: list[tuple[Node, list[str], object]] = [(r, [], iter(r.children))]
+        while stack:
+            node, run, rest = stack[-1]
+            c = next(rest, None)
             if isinstance(c, str):
                 run.append(c)
-            elif c.tag in BLOCKS:
-                flush(node, run)
-                if not c.out:
-                    walk(c)
-        flush(node, run)
-
-    def flush(node: Node, run: list[str]) -> None:
-        if run and node.number not in template and (t := " ".join(unescape("".join(run)).split())):
-            parts.append(t)
-        run.clear()
-
-    for r in roots:
-        walk(r)
+                continue
+            if c is not None and c.tag not in BLOCKS:
+                continue
+            if run and node.number not in template and (t := " ".join(unescape("".join(run)).split())):
+                parts.append(t)
+            run.clear()
+            if c is None:
+                stack.pop()
+            elif not c.out:
+                stack.append((c, [], iter(c.children)))
     return " ".join(parts)
 
 
@@ -302,74 +457,82 @@ def host_of(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def skeletons(pages: DataFrame) -> DataFrame:
-    """host and the skeleton (JSON) of its reference page."""
-    import json
-    from sys import setrecursionlimit
+def reference(pages: list[str]) -> Tree:
+    """Of some pages of a host the skeleton that aligns best with the others', weighed by their sizes."""
+    trees = [skeleton(parse(h))[0] for h in pages]
+    if len(trees) < 3:
+        return trees[0]
+    weight = [[0.0] * len(trees) for _ in trees]
+    for i, x in enumerate(trees):
+        for j in range(i):
+            weight[i][j] = weight[j][i] = match(x, trees[j])[0] / (len(x.tags) + len(trees[j].tags)) * min(len(x.tags), len(trees[j].tags))
+    return trees[max(range(len(trees)), key=lambda k: (sum(weight[k]), -k))]
 
-    chosen = pages.groupBy("host").agg(F.min(F.struct("rank", "html")).alias("page")).select("host", "page.html")  # a row a host leaves each task
+
+def skeletons(pages: DataFrame) -> DataFrame:
+    """host and the skeleton of its reference page."""
+    some = [F.min(F.struct(F.xxhash64(F.lit(k), F.col("rank")).alias("r"), F.col("html"))).alias(f"c{k}") for k in range(CANDIDATES)]
+    chosen = pages.groupBy("host").agg(*some).select("host", F.array_distinct(F.array(*[F.col(f"c{k}.html") for k in range(CANDIDATES)])).alias("pages"))  # a row a host leaves each task
 
     def run(batches):
         import pyarrow as pa
 
-        setrecursionlimit(20_000)
         for b in batches:
-            trees = [json.dumps(skeleton(main_roots(parse(h))), separators=(",", ":")) for h in b.column("html").to_pylist()]
+            trees = [reference(p).dump() for p in b.column("pages").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(trees, pa.string())], names=["host", "tree"])
 
-    return chosen.select("host", "html").mapInArrow(run, "host string, tree string")
+    return chosen.mapInArrow(run, "host string, tree string")
 
 
 def count_nodes(pages: DataFrame) -> DataFrame:
-    """host, node, n (pages that differ from the reference and align with the node) and same (those that repeat its text); node -2, which no tree has, has all pages of the host that differ."""
-    import json
+    """host, node, same (pages that differ from the reference and repeat the node's text) and mass (characters of other texts at the node, roles' apart); node -1 has the number of all pages of the host that differ."""
     from collections import Counter
-    from sys import setrecursionlimit
 
     def run(batches):
         import pyarrow as pa
 
-        setrecursionlimit(20_000)
-        known: dict[str, tuple] = {}
+        known: dict[str, Tree] = {}
         for b in batches:
-            n, same = Counter(), Counter()
+            same, mass = Counter(), Counter()
             for host, html, tree in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("tree").to_pylist()):
-                if len(known) > 2000:
+                if len(known) > 500:
                     known.clear()
                 if tree not in known:
-                    t = json.loads(tree)
-                    known[tree] = (t, numbered(t))
-                plain, reference = known[tree]
-                page = skeleton(main_roots(parse(html)))
-                if page == plain:
+                    known[tree] = Tree.load(tree)
+                whole, (page, _) = known[tree], skeleton(parse(html))
+                if page.same(whole):
                     continue
-                pairs: list = []
-                match(reference, numbered(page), pairs)
-                n[host, -2] += 1
-                n.update((host, a) for a, _, _ in pairs)
-                same.update((host, a) for a, _, equal in pairs if equal)
-            keys = list(n)
-            yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in keys], pa.string()), "node": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array([n[k] for k in keys], pa.int64()), "same": pa.array([same[k] for k in keys], pa.int64())})
-
-    counts = pages.select("host", "html", "tree").mapInArrow(run, "host string, node bigint, n bigint, same bigint")
-    return counts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-
-
-def wrappers(pages: DataFrame, constant: float = CONSTANT, least: int = LEAST) -> DataFrame:
-    """host, tree and template (numbers of the reference's template nodes) for pages (host, rank, html)."""
+                same[host, -1] += 1
+                partner = {j: i for i, j in match(whole, page)[1]}
+                owner = [0] * len(page.tags)
+                for j in range(len(page.tags)):
+                    i = partner.get(j)
+                    owner[j] = owner[page.parents[j]] if i is None else i
+                    if not page.hashes[j]:
+                        continue
+                    if i is not None and whole.hashes[i] == page.hashes[j]:
+                        same[host, i] += 1
+                    elif not page.outs[j]:
+                        mass[host, owner[j]] += page.lengths[j]
+            keys = list(same.keys() | mass.keys())
+            columns = [pa.array([k[0] for k in keys], pa.string()), *(pa.array(x, pa.int64()) for x in ([k[1] for k in keys], [same[k] for k in keys], [mass[k] for k in keys]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "same", "mass"])
+
+    counts = pages.select("host", "html", "tree").mapInArrow(run, "host string, node bigint, same bigint, mass bigint")
+    return counts.groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("mass").alias("mass"))
+
+
+def wrappers(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """host, tree, and the counts of its reference's nodes for pages (host, rank, html), of hosts with enough pages that differ."""
     trees = stored(skeletons(pages.where("host <> ''")), "skeletons")
     counts = stored(count_nodes(pages.join(trees, "host")), "node-counts")
-    whole = counts.where(f"node = -2 and n >= {int(least)}").select("host", F.col("n").alias("pages"))
-    fixed = counts.where("node <> -2").join(whole, "host").where(F.col("same") >= constant * F.col("pages"))
-    fixed = fixed.groupBy("host").agg(F.collect_list("node").alias("template"))  # nodes of one page
-    return stored(trees.join(fixed, "host"), "wrappers")
+    whole = counts.where(f"node = -1 and same >= {int(least)}").select("host", F.col("same").alias("pages"))
+    nodes = counts.where("node >= 0").groupBy("host").agg(F.collect_list(F.struct("node", "same", "mass")).alias("nodes"))  # nodes of one page
+    return stored(trees.join(whole, "host").join(nodes, "host"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text for every row of pages (page_id, url, html)."""
-    import json
-    from sys import setrecursionlimit
-
     sized_batches(pages.sparkSession, 500)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("rank", F.xxhash64(F.lit("page"), F.col("page_id")))
@@ -378,27 +541,23 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        setrecursionlimit(20_000)
-        known: dict[str, list] = {}
+        known: dict[str, Wrapper] = {}
         for b in batches:
             out = []
-            for html, tree, template in zip(b.column("html").to_pylist(), b.column("tree").to_pylist(), b.column("template").to_pylist()):
-                roots = main_roots(parse(html))
-                gone: set[int] = set()
-                if template:
-                    if len(known) > 2000:
-                        known.clear()
-                    if tree not in known:
-                        known[tree] = json.loads(tree)
-                    page, pairs, fixed = skeleton(roots), [], set(template)
-                    match(numbered(known[tree]), numbered(page), pairs)
-                    gone = {b for a, b, equal in pairs if equal and a in fixed}
-                    if gone and not text_of(roots, gone):
-                        gone = set()  # a copy of the reference has no slots that vary
-                out.append(text_of(roots, gone))
+            for k, (host, html) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
+                if not b.column("pages")[k].is_valid:
+                    out.append(text_of(main_roots(parse(html)), set()))
+                    continue
+                if len(known) > 500:
+                    known.clear()
+                if host not in known:
+                    counts = b.column("nodes")[k].as_py()
+                    same, mass = ({n["node"]: n[name] for n in counts} for name in ("same", "mass"))
+                    known[host] = Wrapper(Tree.load(b.column("tree")[k].as_py()), b.column("pages")[k].as_py(), same, mass)
+                out.append(known[host].text(parse(html)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return found.select("page_id", "url", "html", "tree", "template").mapInArrow(run, "page_id bigint, url string, text string")
+    return found.select("page_id", "url", "html", "host", "tree", "pages", "nodes").mapInArrow(run, "page_id bigint, url string, text string")
 
 
 def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -385,27 +386,63 @@ def test_contamination(spark, none):
     assert decontaminate.contamination(none, bench).count() == 0
 
 
-def test_wand_equals_exhaustive_scores():
-    import numpy as np
+def slow_bm25(items, passage):
+    """{item_id: score against itself} by the formula, statistics over all items; passage: words."""
+    k1, b, lists = 1.2, 0.75, {i: decontaminate.terms_of(t) for i, t in items}
+    lists = {i: w for i, w in lists.items() if w}
+    n, mean = len(lists), sum(map(len, lists.values())) / len(lists)
+    df = Counter(t for w in lists.values() for t in set(w))
+    here, out = {decontaminate.term(w) for w in passage}, {}
+    for i, w in lists.items():
+        impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * (k1 + 1) / (w.count(t) + k1 * (1 - b + b * len(w) / mean)) for t in set(w)}
+        out[i] = sum(x for t, x in impact.items() if t in here) / sum(impact.values())
+    return out
+
+
+def test_wand_equals_scores_by_the_formula():
+    import pyarrow as pa
 
     rng = random.Random(4)
     vocabulary = [f"t{k}" for k in range(120)]
     weights = [1 / (k + 1) for k in range(120)]
-    items = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(5, 40)))) for k in range(90)]
+    items = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(2, 90)))) for k in range(90)]
     index = decontaminate.Index(items)
-    passages = [rng.choices(vocabulary, weights, k=80) + rng.choice(items)[1].split() for _ in range(60)]
-    pairs = sorted({(p, index.terms[t]) for p, w in enumerate(passages) for t in w if t in index.terms})
-    got = {(p, i): s for p, i, s in index.retrieve(np.array([p for p, _ in pairs]), np.array([t for _, t in pairs]), len(passages))}
-    impact = np.zeros((len(index.terms), index.blocks * decontaminate.BLOCK))
-    for t in range(len(index.terms)):
-        for r in range(index.start[t], index.start[t + 1]):
-            impact[t, index.block[r] * decontaminate.BLOCK :][: decontaminate.BLOCK] = index.impacts[r]
+    assert [p.half for p in index.classes] == [16, 64, 256]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randrange(0, 400)) + rng.choice(items)[1].split()) for _ in range(40)]
+    got = {(d, i): s for d, i, s, _, _ in decontaminate.search(pa.array(texts), index, overlap=0.0)}
     want = {}
-    for p, w in enumerate(passages):
-        for i, s in enumerate(impact[sorted({index.terms[t] for t in w if t in index.terms})].sum(axis=0)):
-            if s >= decontaminate.THRESHOLD - 1e-9:
-                want[p, i] = s
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    for d, t in enumerate(texts):
+        w = t.split()
+        for half in (16, 64, 256):
+            mine = {i for i, x in items if decontaminate.length_class(x) == half}
+            for at in range(0, max(1, -(-len(w) // half) - 1) * half, half):
+                for i, s in slow_bm25(items, w[at : at + 2 * half]).items():
+                    if i in mine and s >= decontaminate.THRESHOLD - 1e-9:
+                        want[d, i] = max(s, want.get((d, i), 0))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) > 40
+
+
+def test_index_parts_change_no_score(spark):
+    rng = random.Random(9)
+    vocabulary = [f"word{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(8, 70))) + ".") for k in range(60)] + [(99, " ".join(rng.choices(vocabulary, k=20_000)))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(k, " ".join(rng.choices(vocabulary, k=100) + items[k % 60][1].split()[: rng.randrange(8, 70)] + rng.choices(vocabulary, k=100))) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = []
+    for part_bytes in (8_000_000, 60_000, 3_000):
+        found.append({(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contamination(df, bench, part_bytes=part_bytes).collect()})
+    assert found[0] and all(f.keys() == found[0].keys() and all(abs(f[k] - found[0][k]) < 1e-9 for k in f) for f in found)
+
+
+def test_words_part_alike_in_items_and_texts():
+    import pyarrow as pa
+
+    item = "One\u00a0two three\u2003four five six? Seven\u3000eight \x85nine ten eleven twelve."
+    assert [x[1] for x in decontaminate.search(pa.array(["a b c " + item + " d", None, ""]), decontaminate.Index([(5, item)]))] == [5]
+    # a short answer takes words before it along, so one changed word in it doesn't hide the item
+    item = "Which of the many rivers of the old plain is the longest one? Bren."
+    assert [x[1] for x in decontaminate.search(pa.array([item, item.replace("Bren", "Ald"), "Bren."]), decontaminate.Index([(6, item)]))] == [6, 6]
 
 
 # 8
@@ -453,13 +490,86 @@ def test_late_paragraphs_of_a_long_reference_stay(spark):
     assert {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()} == {i: " ".join(x) for i, x in body.items()}
 
 
-def test_tree_matching():
-    number = html_wrappers.numbered
-    a = number(["#main", 0, [["div", 0, [["p", 1, []], ["p", 2, []], ["p", 3, []]]]]])
-    b = number(["#main", 0, [["div", 0, [["h1", 9, []], ["p", 1, []], ["p", 8, []], ["p", 7, []], ["p", 3, []]]]]])
-    pairs = []
-    assert html_wrappers.match(a, b, pairs) == 1 + 1 + 3 + 1 + 3
-    assert (1, 2, True) in pairs and (3, 5, True) in pairs
+def tree(nested):
+    """A skeleton of [tag, hash, children]."""
+    columns = [], [], [], [], []
+
+    def add(node, parent):
+        k = len(columns[0])
+        for c, v in zip(columns, (node[0], node[1], 10 * bool(node[1]), parent, 0)):
+            c.append(v)
+        for x in node[2]:
+            add(x, k)
+
+    add(nested, -1)
+    return html_wrappers.Tree(*columns)
+
+
+def slow_match(a, b):
+    """Weight of simple tree matching by its definition."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2]):
+        for j, y in enumerate(b[2]):
+            best[i + 1][j + 1] = max(best[i][j] + slow_match(x, y), best[i][j + 1], best[i + 1][j])
+    return (3 if a[1] == b[1] and a[1] else 1) + best[-1][-1]
+
+
+def test_tree_matching(monkeypatch):
+    a = ["#main", 0, [["div", 0, [["p", 1, []], ["p", 2, []], ["p", 3, []]]]]]
+    b = ["#main", 0, [["div", 0, [["h1", 9, []], ["p", 1, []], ["p", 8, []], ["p", 7, []], ["p", 3, []]]]]]
+    weight, pairs = html_wrappers.match(tree(a), tree(b))
+    assert weight == 1 + 1 + 3 + 1 + 3 and (2, 3) in pairs and (4, 6) in pairs
+    rng = random.Random(5)
+    grow = lambda depth: [rng.choice("ab"), rng.randrange(3), [grow(depth - 1) for _ in range(rng.randrange(4))] if depth else []]
+    cases = [(["#", 0, [grow(3) for _ in range(3)]], ["#", 0, [grow(3) for _ in range(3)]]) for _ in range(60)]
+    for x, y in cases:
+        weight, pairs = html_wrappers.match(tree(x), tree(y))
+        assert weight == slow_match(x, y) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    monkeypatch.setattr(html_wrappers, "CELLS", 1)  # the way of long lists is a matching too, though not always the best
+    for x, y in cases:
+        s, t = tree(x), tree(y)
+        weight, pairs = html_wrappers.match(s, t)
+        assert weight <= slow_match(x, y) and all(s.tags[i] == t.tags[j] for i, j in pairs)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        partner = dict(pairs)
+        assert all(partner[s.parents[i]] == t.parents[j] for i, j in pairs if i)
+
+
+def test_deep_and_wide_pages(spark):
+    wide = lambda k: "<article>" + "".join(f"<p>{k} paragraph {n}" for n in range(20_000)) + "</article>"
+    deep = "<div>" * 50_000 + "x" + "</div>" * 50_000
+    inline = "<b>" * 50_000 + "<p>y" * 2_000
+    pages = [(0, wide(0)), (1, wide(1)), (2, deep), (3, inline)] + [(k, f"<article><p>story {k}</article>") for k in range(4, 14)]
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in pages], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()}
+    assert got[0] == " ".join(f"0 paragraph {n}" for n in range(20_000)) and got[2] == "x" and got[3] == " ".join(["y"] * 2000) and got[9] == "story 9"
+
+
+def test_boilerplate_without_telling_names(spark):
+    """No tag, role, class or id tells these menus, teasers and legal lines: the wrapper alone removes them, constant or not."""
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet vita nova".split()) for _ in range(n))
+    story = {k: [f"Title {k}", *(some(60) for _ in range(rng.randrange(2, 6)))] for k in range(30)}
+    html = lambda k: (
+        f"<html><body><div><div>Home</div><div>World</div><div>{some(2)}</div></div><div><h1>{story[k][0]}</h1>"
+        + "".join(f"<p>{x}</p>" for x in story[k][1:])
+        + f"<p>Read the terms of use</p></div><div><div>{some(3)}</div><div>{some(4)}</div></div><div>All rights kept</div></body></html>"
+    )
+    data = [(k, f"http://news.example/{k}", html(k)) for k in story]
+    data += [(100, "http://news.example/empty", ""), (101, "http://news.example/error", "<html><body><p>not found</p></body></html>")]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()}
+    assert {k: got[k] for k in story} == {k: " ".join(x) for k, x in story.items()}
+    assert got[100] == "" and got[101] == "not found"
+
+
+def test_near_copies_keep_what_they_share(spark):
+    lines = [f"line {k} that all copies share" for k in range(20)]
+    html = lambda k: "<html><body><div>Menu</div><article>" + "".join(f"<p>{x}</p>" for x in [*lines, f"edited {k}"]) + "</article></body></html>"
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", html(k)) for k in range(20)], "page_id bigint, url string, html string")
+    assert all(r["text"] == " ".join([*lines, f"edited {r['page_id']}"]) for r in html_wrappers.extract(df).collect())
 
 
 # 9
