@@ -11,7 +11,8 @@
    to the lines. Such a join is hash against a unique side: adaptive execution splits
    a hot hash's partition.
 4. What is returned is one compressed bitmap for each document with a dropped line:
-   runs, alternately kept and dropped, starting with kept.
+   runs, alternately kept and dropped, starting with kept, and their ends, so that a text of many runs is
+   cut in time linear in them.
 
 Defined results: a null or empty text is one empty line, which is kept. Documents of
 null doc_id have no identity: their lines neither count nor go. Rows of one doc_id are
@@ -50,7 +51,7 @@ def frequent(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, th and runs (array<int>: kept, dropped, kept, ... lines; what follows the last run is kept) of documents that lose lines."""
+    """doc_id, th, runs (array<int>: kept, dropped, kept, ... lines; what follows the last run is kept) and the line that each run ends before, of documents that lose lines."""
     lines = stored(keyed_lines(docs, least_chars), "lines")  # hashes and places only: texts are split once
     often = stored(frequent(lines, least_docs), "frequent")  # a plain side, so a hot hash's partition can be split
     gone = lines.join(often, ["h1", "h2"]).where("doc_id <> last_id")
@@ -60,7 +61,9 @@ def drop_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     each = each.select("doc_id", "th", begins.alias("b"), ends.alias("e"))
     kept = F.transform("b", lambda x, i: F.when(i == 0, x).otherwise(x - F.col("e")[F.greatest(i - 1, F.lit(0))] - 1))
     dropped = F.transform("b", lambda x, i: F.col("e")[i] - x + 1)
-    return each.select("doc_id", "th", F.flatten(F.transform(F.arrays_zip(kept.alias("k"), dropped.alias("d")), lambda r: F.array(r["k"], r["d"]))).alias("runs"))
+    pairs = lambda x, y: F.flatten(F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda r: F.array(r["x"], r["y"])))
+    ends = pairs(F.col("b"), F.transform("e", lambda x: x + 1))
+    return each.select("doc_id", "th", pairs(kept, dropped).alias("runs"), ends.alias("ends"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -68,12 +71,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     both = rows.join(bitmaps, ["doc_id", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
-    ends = F.transform(F.sequence(F.lit(1), F.size("runs")), lambda k: F.aggregate(F.slice("runs", F.lit(1), k), F.lit(0), lambda a, x: a + x))
     pairs = F.transform(F.sequence(F.lit(0), F.size("runs"), F.lit(2)), lambda k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.col("ends")[F.greatest(k - 1, F.lit(0))]).alias("a"), F.when(k < F.size("runs"), F.col("runs")[F.least(k, F.size("runs") - 1)]).otherwise(F.size("lines")).alias("n")))
     kept = F.array_join(F.flatten(F.transform("pairs", lambda r: F.slice("lines", r["a"] + 1, r["n"]))), "\n")
     dropped = F.aggregate(F.sequence(F.lit(1), F.size("runs"), F.lit(2)), F.lit(0), lambda a, k: a + F.col("runs")[k])
     has = F.col("runs").isNotNull()
-    both = both.withColumn("ends", F.when(has, ends)).withColumn("pairs", F.when(has, pairs))
+    both = both.withColumn("pairs", F.when(has, pairs))
     return both.select("doc_id", F.when(has, kept).otherwise(F.col("text")).alias("text"), F.size("lines").cast("long").alias("n_lines"), F.when(has, dropped).otherwise(0).cast("long").alias("n_dropped"))
 
 
