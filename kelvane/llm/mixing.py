@@ -10,11 +10,12 @@ over. A copy's virtual finish time is the source's words up to its end divided b
 source's weight. All copies in order of virtual finish time, cut where the budget is
 used up, are the mix: at virtual time t each source has sent t times its weight.
 
-Scale. No window holds a source. A running sum has two steps: sums of BUCKETS hash ranges
+Scale. No window holds a source. A running sum has two steps: sums of hash ranges
 of each source, then the sum inside a range. The cut has the same two steps over ranges
 of virtual time: a histogram finds the range in which the budget ends, and only that
-range is sorted. Only the table of sources, ranges of a source and the histogram's rows
-meet in one task; none of them grows with the number of documents.
+range is sorted. There are BUCKETS ranges, or as many more as leave about PER_RANGE documents in
+each, so what one task sorts stays the same size. What meets in one task besides are the
+table of sources, a source's ranges and the histogram: a row for each PER_RANGE documents.
 
 Defined results: a null text has size 0; documents of size 0 are taken 0 words. A null
 source is a source, the last. Repeated rows are ordered by id and size and, being equal,
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, stored
 
-WEIGHTS, SHARE, MOST, BUCKETS = (5, 2, 1), 1.5, 2, 1024
+WEIGHTS, SHARE, MOST, BUCKETS, PER_RANGE = (5, 2, 1), 1.5, 2, 1024, 20_000
 
 
 def word_count(text):
@@ -57,12 +58,15 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     return out.select("source", "source_size", "weight", "budget", "level", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, buckets: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for every row of docs (doc_id, text, source)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("turn", F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("size")))
-    rows = stored(rows.withColumn("bucket", F.pmod(F.shiftright("turn", 32), F.lit(buckets))), "sizes")
-    aim = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
+    rows = stored(rows, "sizes")
+    sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sizes")
+    aim = stored(targets(sums.select("source", "source_size"), share, most, weights), "targets")
+    buckets = buckets or max(BUCKETS, (sums.agg(F.sum("n")).first()[0] or 0) // PER_RANGE)
+    rows = rows.withColumn("bucket", F.pmod(F.shiftright("turn", 32), F.lit(buckets)))
 
     # words of a source up to and with a document, in the order (bucket, turn)
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
