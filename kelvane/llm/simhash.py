@@ -189,7 +189,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        held = np.empty((0, 3), np.int64)
+        held: list = []  # pieces of the shard that the last batch ended in
 
         def found(rows):
             cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
@@ -202,16 +202,17 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "fp")], axis=1)
-            rows = np.ascontiguousarray(np.concatenate([held, rows]))
             if not len(rows):
                 continue
-            last = (rows[:, :2] == rows[-1, :2]).all(axis=1)
-            whole = len(rows) - int(last.sum())
-            if whole:
-                yield found(rows[:whole])
-            held = rows[whole:]
-        if len(held) > 1:
-            yield found(np.ascontiguousarray(held))
+            whole = len(rows) - int((rows[:, :2] == rows[-1, :2]).all(axis=1).sum())
+            if held and (whole or (held[0][0, :2] != rows[0, :2]).any()):
+                yield found(np.ascontiguousarray(np.concatenate([*held, rows[:whole]])))
+                held = []
+            elif whole:
+                yield found(np.ascontiguousarray(rows[:whole]))
+            held.append(rows[whole:])
+        if held:
+            yield found(np.ascontiguousarray(np.concatenate(held)))
 
     return shards.select("t", "key", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
