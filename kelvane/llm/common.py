@@ -17,10 +17,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a folder under /tmp/checkpoints is set.
+    Where it is unset and the master is local (tests, one machine) a folder under /tmp/checkpoints is set; elsewhere
+    that would be each executor's own disk, so it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -32,10 +35,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kelvane/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that stored() wrote and remove_stored() has not removed.
+STORED: list[str] = []
+
+
+def remove_stored(spark: SparkSession, keep: list[str]) -> None:
+    """Delete what stored() wrote, but for the paths in keep. Only for a caller that reads no earlier result any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in [p for p in STORED if p not in keep]:
+        path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
+        STORED.remove(p)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,8 +13,11 @@ where most room is left.
 Documents keep their order in a file, so a flow is runs of rows of files. The
 driver holds one row a file and the flow; the plan's runs are broadcast, at most the
 files, twice the large documents and the flow's edges in number. Row sums are made
-by blocks of BLOCK rows, then over blocks. Text moves once: from the scan
-to the file that is rewritten. Every shard is written, also one that neither gives nor takes.
+by blocks of BLOCK rows, then over blocks. A row finds its run by file and part of the file, of which
+a file has twice as many as it has runs. Text moves once: from the scan to the file that is rewritten,
+dealt by the byte a row starts at, in parts of at most PART bytes on average, so no task grows with the table.
+A shard that keeps all rows of its files and takes none isn't rewritten: a manifest names its
+files, and its rows are read from where they are.
 
 Defined results: a null text has 0 bytes and the crc of no bytes; null and repeated
 ids are rows like any other; an empty table has no rows; other columns stay in the files
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, stored
 
-SHARDS, OLD, FINE, BLOCK, EXTRA = 40, 256, 128, 65_536, 16
+SHARDS, OLD, FINE, BLOCK, EXTRA, PART = 40, 256, 128, 65_536, 16, 128 << 20
 
 
 def least_cost_flow(supplies: list[int], capacities: list[int]) -> list[tuple[int, int, int]]:
@@ -164,24 +167,54 @@ def plan(light: DataFrame, shards: int = SHARDS) -> DataFrame:
     return spark.createDataFrame(done, schema)
 
 
+def untouched(runs: DataFrame, light: DataFrame) -> DataFrame:
+    """file, shard and base of the files of shards that keep all rows of their files, in order, and take none."""
+    files = light.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    whole = runs.groupBy("shard", "file").agg(F.sum(F.col("last") - F.col("first") + 1).alias("mine"), F.min("base").alias("base"), F.max(F.col("base") - F.col("first")).alias("hi"), F.min(F.col("base") - F.col("first")).alias("lo"))
+    # large documents stand in order with the runs about them, so equal differences mean that slots follow positions
+    whole = whole.join(files, "file").withColumn("kept", (F.col("mine") == F.col("n")) & (F.col("hi") == F.col("lo")))
+    good = whole.groupBy("shard").agg(F.min(F.col("kept").cast("int")).alias("all")).where("all = 1").select("shard")
+    return whole.join(good, "shard").select("file", "shard", "base")
+
+
 def reshard(docs: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
-    """Rewrite a table read from files into `shards` folders shard=N under folder; returns the rows as read back, with shard and slot.
+    """Rewrite the affected part of a table read from files into folders shard=N under folder; returns all rows as read back, with shard and slot.
 
-    docs must come from a file source and have the columns doc_id and text.
+    docs must come from a file source and have the columns doc_id and text. The folder's manifest names the files that stay as they are.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_")]
-    rows = docs.select(*kept, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+    names = [c for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
     light = stored(rows.select(F.col("_file").alias("file"), F.col("_pos").alias("pos"), (F.octet_length(text) + EXTRA).cast("long").alias("size")), "sizes")
-    runs = F.broadcast(plan(light, shards).select(F.col("file").alias("_of"), F.col("first").alias("_first"), F.col("last").alias("_last"), "shard", F.col("base").alias("_base")))
-    dealt = rows.join(runs, (F.col("_file") == F.col("_of")) & F.col("_pos").between(F.col("_first"), F.col("_last")))
-    dealt = dealt.withColumn("slot", F.col("_base") + F.col("_pos") - F.col("_first"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_")], "slot", "shard")
-    dealt = dealt.repartition(n, "shard", F.floor(F.col("slot") / 4096))
-    dealt.write.partitionBy("shard").parquet(folder)
-    return spark.read.schema(dealt.schema).parquet(folder)
+    runs = stored(plan(light, shards), "runs")
+    stay = stored(untouched(runs, light), "untouched")
+    kept = [r["file"] for r in stay.collect()]  # files of at most `shards` shards
+    stay.write.parquet(f"{folder}/_manifest")
+
+    # a file is cut into twice as many parts as it has runs, so that a row meets one or two of them
+    moved = runs.join(F.broadcast(stay.select("file")), "file", "left_anti")
+    width = light.groupBy("file").agg(F.max("pos").alias("top")).join(moved.groupBy("file").agg(F.count(F.lit(1)).alias("n")), "file")
+    width = width.select(F.col("file").alias("w_file"), F.ceil((F.col("top") + 1) / (2 * F.col("n"))).alias("_width"))
+    cut = moved.join(F.broadcast(width), F.col("file") == F.col("w_file"))
+    cut = cut.withColumn("_part", F.explode(F.sequence(F.floor(F.col("first") / F.col("_width")), F.floor(F.col("last") / F.col("_width")))))
+    cut = cut.select(F.col("file").alias("_of"), F.col("_part"), F.col("first").alias("_first"), F.col("last").alias("_last"), "shard", F.col("base").alias("_base"))
+    ends = runs.groupBy("shard").agg(F.max(F.col("base") + F.col("last") - F.col("first") + 1).alias("_rows")).withColumnRenamed("shard", "_shard")
+    total = light.agg(F.sum("size")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    dealt = (rows if not kept else rows.where(~F.col("_file").isin(kept))).join(F.broadcast(width), F.col("_file") == F.col("w_file"))
+    dealt = dealt.join(F.broadcast(cut), (F.col("_file") == F.col("_of")) & (F.floor(F.col("_pos") / F.col("_width")) == F.col("_part")) & F.col("_pos").between(F.col("_first"), F.col("_last")))
+    dealt = dealt.withColumn("slot", F.col("_base") + F.col("_pos") - F.col("_first")).join(F.broadcast(ends), F.col("shard") == F.col("_shard"))
+    place = F.floor((F.col("shard") + F.col("slot") / F.col("_rows")) / F.lit(shards) * n)  # shards are equal in bytes
+    dealt = dealt.select(*[F.col(f"`{c}`") for c in names], "slot", "shard", F.least(place, F.lit(n - 1)).cast("int").alias("_place"))
+    dealt = dealt.repartitionById(n, "_place").sortWithinPartitions("shard", "slot").drop("_place")
+    dealt.write.partitionBy("shard").parquet(folder + "/moved")
+    back = spark.read.schema(dealt.schema).parquet(folder + "/moved")
+    if not kept:
+        return back
+    here = F.broadcast(stay.select(F.col("file").alias("_of"), "shard", F.col("base").alias("_base")))
+    same = rows.where(F.col("_file").isin(kept)).join(here, F.col("_file") == F.col("_of"))
+    return back.unionByName(same.select(*[F.col(f"`{c}`") for c in names], (F.col("_base") + F.col("_pos")).alias("slot"), "shard"))
 
 
 def op9_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
