@@ -65,6 +65,9 @@ def two_valued(comparison: Column) -> Column:
 
 def exact_decimal(c: Column, precision: int, scale: int) -> Column:
     """To DECIMAL(precision, scale); fraction digits beyond scale are an error, never rounded."""
-    wide = c.cast(f"decimal(38,{min(18, scale + 10)})")
-    out = wide.cast(f"decimal({precision},{scale})")
-    return F.when(out == wide, out).when(c.isNotNull(), F.raise_error(F.concat(F.lit("excess fraction digits: "), c.cast("string"))))
+    text = c.cast("string")
+    digits = F.length(F.rtrim(F.regexp_extract(text, r"\.(\d+)", 1), F.lit("0")))
+    tiny = F.regexp_extract(text, r"[eE]-(\d+)$", 1)  # a number below 0.001 in scientific form
+    digits = digits + F.when(tiny == "", 0).otherwise(tiny.cast("int"))
+    fits = F.when(F.regexp_like(text, F.lit(r"^\s*[-+]?0*\.?0*([eE][-+]?\d+)?\s*$")), True).otherwise(digits <= scale)
+    return F.when(fits, c.cast(f"decimal({precision},{scale})")).when(c.isNotNull(), F.raise_error(F.concat(F.lit("excess fraction digits: "), text)))

@@ -1,16 +1,16 @@
 """Tables that can be written: versioned Parquet folders with constraints, writes and an event log.
 
-A table is a folder: folders of Parquet files, and _current, a JSON text with the version, its list of
-files and the metadata, put in place by a rename in Hadoop's file system. An insert adds files;
+A table is a folder: folders of Parquet files, and _state with one numbered JSON text for each version:
+its list of files and the metadata. The highest number is the current one. A new number is put in place by one
+rename in Hadoop's file system, so a crash leaves the version before, and of two writers the later fails. An insert adds files;
 an update, delete or upsert finds the files with affected rows and rewrites only these; keys
 are checked by joining new rows with the key columns. Constraints are checked before the
-pointer moves. One writer at a time; readers see whole versions.
+new number is written. One writer at a time; readers see whole versions. vacuum() deletes what no current version reads.
 """
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -33,8 +33,8 @@ class Spec:
     serial: list[str] = field(default_factory=list)
     unique: list[list[str]] = field(default_factory=list)
     checks: dict[str, str] = field(default_factory=dict)
-    #: name -> [column, parent table, parent column]
-    foreign: dict[str, list[str]] = field(default_factory=dict)
+    #: name -> [column, parent table, parent column]; lists of columns if there are several
+    foreign: dict[str, list] = field(default_factory=dict)
     dims: dict[str, int] = field(default_factory=dict)
     json_columns: list[str] = field(default_factory=list)
     enums: dict[str, list[str]] = field(default_factory=dict)
@@ -60,13 +60,13 @@ class Store:
         return self._path(p).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _put(self, path: str, text: str) -> None:
+        """Write a file whole under a name that must be new."""
         fs, temporary = self._fs(path), f"{path}.{uuid.uuid4().hex}"
         out = fs.create(self._path(temporary))
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(self._path(path), False)
-        if not fs.rename(self._path(temporary), self._path(path)):
-            raise OSError(f"{path} can't be put in place")
+        if fs.exists(self._path(path)) or not fs.rename(self._path(temporary), self._path(path)):
+            raise OSError(f"{path} can't be put in place: another writer was first")
 
     def _get(self, path: str) -> str | None:
         fs = self._fs(path)
@@ -79,29 +79,74 @@ class Store:
 
     # metadata
 
+    def _number(self, name: str) -> int:
+        """The number of the latest state; 0 if there is none."""
+        top = self._path(f"{self.folder}/{name}/_state")
+        fs = self._fs(self.folder)
+        found = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        return max((int(n[:-5]) for n in found if n.endswith(".json")), default=0)
+
+    def _latest(self, name: str) -> dict | None:
+        """The current state; None if there is no such table or it was dropped."""
+        number = self._number(name)
+        state = json.loads(self._get(f"{self.folder}/{name}/_state/{number:012d}.json")) if number else None
+        return None if state is None or state.get("gone") else state
+
+    def _set_state(self, name: str, state: dict) -> None:
+        number = self._number(name) + 1
+        self._put(f"{self.folder}/{name}/_state/{number:012d}.json", json.dumps(state))
+
     def names(self) -> list[str]:
         fs, top = self._fs(self.folder), self._path(self.folder)
         found = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
-        return sorted(n for n in found if not n.startswith("_") and self._get(f"{self.folder}/{n}/_current"))
+        return sorted(n for n in found if not n.startswith("_") and self._latest(n) is not None)
 
     def _state(self, name: str) -> dict:
-        text = self._get(f"{self.folder}/{name}/_current")
-        if text is None:
+        state = self._latest(name)
+        if state is None:
             raise KeyError(f"no table {name}")
-        return json.loads(text)
+        return state
 
     def spec(self, name: str) -> Spec:
         return Spec(**self._state(name)["spec"])
 
     def set_spec(self, name: str, spec: Spec) -> None:
-        state = self._state(name)
-        self._put(f"{self.folder}/{name}/_current", json.dumps(state | {"spec": asdict(spec)}))
+        self._set_state(name, self._state(name) | {"spec": asdict(spec)})
 
     def create(self, name: str, spec: Spec, rows: DataFrame | None = None) -> None:
-        if self._get(f"{self.folder}/{name}/_current") is not None:
+        if self._latest(name) is not None:
             raise ValueError(f"table {name} exists")
         files = [] if rows is None else self._write(name, 1, _coerced(rows, spec))
-        self._put(f"{self.folder}/{name}/_current", json.dumps({"version": 1, "serial": {}, "dropped": [], "files": files, "spec": asdict(spec)}))
+        self._set_state(name, {"version": 1, "serial": {}, "dropped": [], "files": files, "spec": asdict(spec)})
+
+    def snapshot(self) -> dict[str, dict]:
+        """The states of all tables, for restore()."""
+        out: dict = {n: self._state(n) for n in self.names()}
+        out[""] = {"head": self._log().head()}
+        return out
+
+    def restore(self, before: dict[str, dict]) -> None:
+        """Every table as in a snapshot; later ones are dropped, later events removed."""
+        for name in {*before, *self.names()} - {""}:
+            now, old = self._latest(name), before.get(name)
+            if now != old:
+                self._set_state(name, old if old is not None else {"gone": True})
+        self._log().forget_after(before[""]["head"])
+
+    def vacuum(self) -> int:
+        """Delete files that no current version reads, and what statements kept beside the tables. For when nothing reads earlier results. Returns the number of folders."""
+        fs, gone = self._fs(self.folder), 0
+        for table in fs.listStatus(self._path(self.folder)) if fs.exists(self._path(self.folder)) else []:
+            name = table.getPath().getName()
+            if name == "_work":
+                gone += int(fs.delete(table.getPath(), True))
+            elif not name.startswith("_"):
+                state = self._latest(name)
+                used = {f.split("/")[0] for f in state["files"]} if state else set()
+                for x in fs.listStatus(table.getPath()):
+                    if x.getPath().getName() not in used | {"_state"}:
+                        gone += int(fs.delete(x.getPath(), True))
+        return gone
 
     def _write(self, name: str, version: int, df: DataFrame) -> list[str]:
         """Write rows as files of a version; returns the files' names under the table's folder."""
@@ -112,11 +157,12 @@ class Store:
         return [f"{place}/{f}" for f in sorted(found) if f.endswith(".parquet")]
 
     def drop(self, name: str, if_exists: bool = False) -> None:
-        if self._get(f"{self.folder}/{name}/_current") is None:
+        """The table is gone; vacuum() deletes its files."""
+        if self._latest(name) is None:
             if if_exists:
                 return
             raise KeyError(f"no table {name}")
-        self._fs(self.folder).delete(self._path(f"{self.folder}/{name}"), True)
+        self._set_state(name, {"gone": True})
 
     def add_column(self, name: str, column: str, kind: str, default=None) -> None:
         """Older rows read the default. Files are rewritten only for a default, or for the name of a dropped column."""
@@ -144,7 +190,7 @@ class Store:
         spec.not_null = [c for c in spec.not_null if c != column]
         spec.unique = [u for u in spec.unique if column not in u]
         state |= {"dropped": sorted({*state["dropped"], column}), "spec": asdict(spec)}
-        self._put(f"{self.folder}/{name}/_current", json.dumps(state))
+        self._set_state(name, state)
 
     def read(self, name: str) -> DataFrame:
         """The current version."""
@@ -174,17 +220,26 @@ class Store:
         if add is not None:
             files += self._write(name, version, add.select(*spec.columns))
         new = {"version": version, "serial": state["serial"] | (serial or {}), "files": files, "spec": asdict(spec)}
-        self._put(f"{self.folder}/{name}/_current", json.dumps(state | new))
+        self._set_state(name, state | new)
 
     # writes: each returns the affected rows
 
-    def insert(self, name: str, rows: DataFrame, conflict: list[str] | None = None, update: dict[str, Column] | None = None, where: Column | None = None, nothing: bool = False) -> DataFrame:
+    # guard: called with the pairs (new, old) of a write before it commits, and may raise. hook: changes the pairs (_row, new, old) of BEFORE triggers
+
+    def insert(
+        self, name: str, rows: DataFrame, conflict: list[str] | None = None, update: dict[str, Column] | None = None, where: Column | None = None, nothing: bool = False,
+        using: Column | None = None, guard=None, update_guard=None, hook=None,
+    ) -> DataFrame:
         """Add rows (some of the columns). conflict names the key of an upsert: rows whose key exists update it (update:
         column -> expression over `old` and `new`) if where holds, or are left out if nothing. A null key never conflicts. Of rows with one key in one
-        statement the later win, as if they had come one after another; for nothing the first."""
+        statement the later win, as if they had come one after another; for nothing the first. A row that is updated must meet `using`."""
         state, spec = self._state(name), self.spec(name)
         new, serial = _filled(rows, spec, state["serial"])
-        new = self._keep(_coerced(new, spec), name)
+        new = self.keep(_coerced(new, spec), name)
+        if hook:
+            none = F.lit(None).cast(new.schema).alias("old")
+            pairs = self.keep(new.select(F.monotonically_increasing_id().alias("_row"), F.struct(*new.columns).alias("new"), none), name)
+            new = self.keep(_coerced(hook(pairs).select("new.*"), spec), name)
         self._check_rows(new, spec)
         old = self.read(name)
         if nothing and not conflict:
@@ -192,6 +247,7 @@ class Store:
         if not conflict:
             self._check_unique(new, old, spec)
             self._check_foreign(new, spec)
+            self._guarded(guard, new)
             self._commit(name, add=new, serial=serial)
             self._events(name, spec, "insert", None, new)
             return new
@@ -201,8 +257,8 @@ class Store:
         numbered = new.withColumn("_at", F.monotonically_increasing_id())
         pick = Window.partitionBy(*conflict).orderBy("_at" if nothing else F.desc("_at"))
         one = numbered.where(whole).withColumn("_k", F.row_number().over(pick)).where("_k = 1").drop("_k").unionByName(numbered.where(~whole)).drop("_at")
-        one = self._keep(one, name)
-        fresh = self._keep(one.alias("n").join(old.select(*conflict).alias("o"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in conflict], "left_anti"), name)
+        one = self.keep(one, name)
+        fresh = self.keep(one.alias("n").join(old.select(*conflict).alias("o"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in conflict], "left_anti"), name)
         files, changed_old, changed_new, added = None, None, None, fresh
         if not nothing:
             keys = one.select(*conflict).where(whole)
@@ -211,47 +267,75 @@ class Store:
                 both = self._read(name, touched, spec).alias("old").join(one.alias("new"), [F.col(f"old.{k}") == F.col(f"new.{k}") for k in conflict], "left")
                 hit = F.coalesce(F.col(f"new.{conflict[0]}").isNotNull() & (F.lit(True) if where is None else where), F.lit(False))
                 columns = [F.when(hit, update[c]).otherwise(F.col(f"old.{c}")).cast(spec.columns[c]).alias(c) if c in update else F.col(f"old.{c}").alias(c) for c in spec.columns]
-                marked = self._keep(both.select(*columns, hit.alias("_hit"), F.struct("old.*").alias("_old")), name)
+                marked = self.keep(both.select(*columns, hit.alias("_hit"), F.struct("old.*").alias("_old")), name)
                 changed_new, changed_old = marked.where("_hit").select(*spec.columns), marked.where("_hit").select("_old.*")
                 self._check_rows(changed_new, spec)
+                if using is not None and changed_old.where(~F.coalesce(using, F.lit(False))).limit(1).count():
+                    raise PermissionError(f"a row of {name} that conflicts is not the caller's to update")
+                if update_guard:
+                    update_guard(marked.where("_hit").select(F.struct(*spec.columns).alias("new"), F.col("_old").alias("old")))
                 files = [f for f in self._state(name)["files"] if f not in set(touched)]
                 added = marked.select(*spec.columns).unionByName(fresh)
         self._check_unique(added, self._read(name, files, spec) if files is not None else old, spec)
         self._check_foreign(one, spec)
+        self._guarded(guard, fresh)
         self._commit(name, keep=files, add=added, serial=serial)
         self._events(name, spec, "insert", None, fresh)
         if changed_new is not None:
             self._events(name, spec, "update", changed_old, changed_new, spec.primary or conflict)
         return fresh if changed_new is None else fresh.unionByName(changed_new)
 
-    def update(self, name: str, values: dict[str, Column], where: Column | None = None) -> DataFrame:
+    @staticmethod
+    def _guarded(guard, new: DataFrame) -> None:
+        if guard:
+            guard(new.select(F.struct(*new.columns).alias("new"), F.lit(None).cast(new.schema).alias("old")))
+
+    def update(self, name: str, values: dict[str, Column], where: Column | None = None, guard=None, hook=None) -> DataFrame:
         """Set columns to expressions over the old row where the predicate is true."""
         spec = self.spec(name)
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
         touched = self._touched(name, lambda df: df.where(hit))
         old = self._read(name, touched, spec)
         marked = old.select(*[F.when(hit, v).otherwise(F.col(c)).cast(spec.columns[c]).alias(c) if (v := values.get(c)) is not None else F.col(c) for c in spec.columns], hit.alias("_hit"), F.struct("*").alias("_old"))
-        marked = self._keep(marked, name)
+        marked = self.keep(marked, name)
+        if hook:
+            marked = self.keep(marked.withColumn("_row", F.monotonically_increasing_id()), name)
+            made = hook(marked.where("_hit").select("_row", F.struct(*spec.columns).alias("new"), F.col("_old").alias("old")))
+            made = _coerced(made.select("_row", "new.*"), Spec({"_row": "bigint"} | spec.columns)).select(F.col("_row").alias("_r"), F.struct(*spec.columns).alias("_made"))
+            joined = marked.join(made, F.col("_row") == F.col("_r"), "left")
+            took = F.col("_hit") & F.col("_r").isNotNull()
+            marked = self.keep(joined.select(*[F.when(took, F.col("_made")[c]).when(F.col("_hit"), F.col("_old")[c]).otherwise(F.col(c)).alias(c) for c in spec.columns], took.alias("_hit"), "_old"), name)
         new, before = marked.where("_hit").select(*spec.columns), marked.where("_hit").select("_old.*")
         self._check_rows(new, spec)
         files = [f for f in self._state(name)["files"] if f not in set(touched)]
         after, rest = marked.select(*spec.columns), self._read(name, files, spec)
-        self._check_unique(after, rest, spec, set(values))
+        self._check_unique(after, rest, spec, None if hook else set(values))
         self._check_foreign(new, spec)
-        self._check_children(name, before, after, rest, set(values))
+        self._check_children(name, before, after, rest, set(spec.columns) if hook else set(values))
+        if guard:
+            guard(marked.where("_hit").select(F.struct(*spec.columns).alias("new"), F.col("_old").alias("old")))
         self._commit(name, keep=files, add=after)
         self._events(name, spec, "update", before, new, spec.primary)
         return new
 
-    def delete(self, name: str, where: Column | None = None) -> DataFrame:
+    def delete(self, name: str, where: Column | None = None, guard=None, hook=None) -> DataFrame:
         """Rows for which the predicate is true go; unknown is not true."""
         spec = self.spec(name)
         hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
         touched = self._touched(name, lambda df: df.where(hit))
         old = self._read(name, touched, spec)
         files = [f for f in self._state(name)["files"] if f not in set(touched)]
-        gone, kept = self._keep(old.where(hit), name), old.where(~hit)
+        if hook:
+            marked = self.keep(old.select("*", hit.alias("_hit"), F.monotonically_increasing_id().alias("_row")), name)
+            none = F.lit(None).cast(old.schema).alias("new")
+            agreed = hook(marked.where("_hit").select("_row", none, F.struct(*spec.columns).alias("old"))).select(F.col("_row").alias("_r"))
+            marked = self.keep(marked.join(agreed, F.col("_row") == F.col("_r"), "left").withColumn("_hit", F.col("_hit") & F.col("_r").isNotNull()), name)
+            gone, kept = marked.where("_hit").select(*spec.columns), marked.where("not _hit").select(*spec.columns)
+        else:
+            gone, kept = self.keep(old.where(hit), name), old.where(~hit)
         self._check_children(name, gone, kept, self._read(name, files, spec))
+        if guard:
+            guard(gone.select(F.lit(None).cast(gone.schema).alias("new"), F.struct(*spec.columns).alias("old")))
         self._commit(name, keep=files, add=kept)
         self._events(name, spec, "delete", gone, None)
         return gone
@@ -264,7 +348,7 @@ class Store:
 
     # constraints
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df written beside the tables and read again, so that a plan over the old version doesn't outlive it."""
         path = f"{self.folder}/_work/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -289,23 +373,28 @@ class Store:
             if orphans(rows, column, self.read(parent), key).limit(1).count():
                 raise ConstraintError(f"foreign key {rule}")
 
+    def _log(self):
+        from ..streaming.events import EventLog
+
+        return EventLog(self.spark, f"{self.folder}/_events")
+
     def _check_children(self, name: str, before: DataFrame, after: DataFrame, rest: DataFrame, changed: set[str] | None = None) -> None:
         """RESTRICT: no child may lose its parent. before: old affected rows; after and rest: what stays; changed: only keys of these columns."""
         for other in self.names():
             for rule, (column, parent, key) in self.spec(other).foreign.items():
-                if parent == name and (changed is None or key in changed):
-                    lost = before.select(key).distinct().join(after.select(key), key, "left_anti").join(rest.select(key), key, "left_anti")
-                    lost = lost.withColumnRenamed(key, "_lost")
-                    if self.read(other).join(lost, F.col(column) == F.col("_lost"), "left_semi").limit(1).count():
+                columns, keys = _listed(column), _listed(key)
+                if parent == name and (changed is None or set(keys) & changed):
+                    lost = before.select(*keys).distinct().join(after.select(*keys), keys, "left_anti").join(rest.select(*keys), keys, "left_anti")
+                    lost = lost.toDF(*[f"_lost{k}" for k in range(len(keys))])
+                    same = [F.col(c) == F.col(f"_lost{k}") for k, c in enumerate(columns)]
+                    if self.read(other).join(lost, same, "left_semi").limit(1).count():
                         raise ConstraintError(f"foreign key {rule} of {other}")
 
     # events
 
     def _events(self, name: str, spec: Spec, op: str, before: DataFrame | None, after: DataFrame | None, key: list[str] | None = None) -> None:
         if spec.events:
-            from ..streaming.events import EventLog
-
-            EventLog(self.spark, f"{self.folder}/_events").capture(name, op, before, after, list(spec.columns), key)
+            self._log().capture(name, op, before, after, list(spec.columns), key)
 
 
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -315,10 +404,17 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def orphans(rows: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
-    """Rows whose foreign key is not null and has no parent."""
-    p = parents.select(F.col(key).alias("_parent")).distinct()
-    return rows.where(F.col(column).isNotNull()).join(p, F.col(column) == F.col("_parent"), "left_anti")
+def _listed(x: str | list[str]) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
+
+
+def orphans(rows: DataFrame, column: str | list[str], parents: DataFrame, key: str | list[str]) -> DataFrame:
+    """Rows whose foreign key has no null and no parent."""
+    columns, keys = _listed(column), _listed(key)
+    p = parents.select(*[F.col(k).alias(f"_parent{j}") for j, k in enumerate(keys)]).distinct()
+    for c in columns:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows.join(p, [F.col(c) == F.col(f"_parent{j}") for j, c in enumerate(columns)], "left_anti")
 
 
 def violations(rows: DataFrame, spec: Spec) -> DataFrame:
@@ -360,7 +456,3 @@ def _coerced(rows: DataFrame, spec: Spec) -> DataFrame:
         kind = T._parse_datatype_string(k)
         out.append((exact_decimal(F.col(c), kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else F.col(c).cast(k)).alias(c))
     return rows.select(*out)
-
-
-def now_ms() -> int:
-    return int(time.time() * 1000)

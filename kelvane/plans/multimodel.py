@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vector
 from ..operators import graph
 from ..streaming import events as ev
+from ..session import work_folder
 from .base import query
 
 c, lit = F.col, F.lit
@@ -38,18 +39,10 @@ def near_filtered(t):
     return vector.near(t.embeddings, "embedding", _first(t), 5, where=c("label") == 3, tie="vec_id").select("vec_id", "label", F.round("vec_distance", 5).alias("dist"))
 
 
-@query("""SELECT q.vec_id, b.vec_id AS near_vec_id, round(list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS dist,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), b.vec_id)::BIGINT AS rank
-FROM embeddings q, embeddings b WHERE q.vec_id < 20 QUALIFY rank <= 5""")
-def knn_join(t):
-    queries = t.embeddings.where("vec_id < 20")
-    return vector.knn_join(queries, t.embeddings, "vec_id", "vec_id", "embedding", 5).select("vec_id", "near_vec_id", F.round("vec_distance", 4).alias("dist"), "rank")
-
-
 @query("""SELECT q.vec_id, b.vec_id AS near_vec_id, round(list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS dist,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), b.vec_id)::BIGINT AS rank
 FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5""")
-def knn_join_hundredth(t):
+def knn_join(t):
     queries = t.embeddings.where("vec_id % 100 = 0")
     return vector.knn_join(queries, t.embeddings, "vec_id", "vec_id", "embedding", 5).select("vec_id", "near_vec_id", F.round("vec_distance", 4).alias("dist"), "rank")
 
@@ -172,38 +165,20 @@ def cdc_head(t):
     return _log(t).agg(F.max("seq").alias("head"))
 
 
-@query(_EV + "SELECT seq, CASE op WHEN 'insert' THEN 'c' WHEN 'update' THEN 'u' ELSE 'd' END AS op, CASE WHEN op <> 'delete' THEN event_type END AS kind FROM log WHERE seq < 500")
-def cdc_debezium(t):
-    body = ev.formatted(_log(t).where("seq < 500"), "debezium")
-    return body.select("seq", F.get_json_object("body", "$.payload.op").alias("op"), F.get_json_object("body", "$.payload.after.event_type").alias("kind"))
-
-
 @query(_EV + "SELECT seq, CASE op WHEN 'insert' THEN 'c' WHEN 'update' THEN 'u' ELSE 'd' END AS op, CASE WHEN op <> 'delete' THEN event_type END AS kind FROM log")
-def cdc_debezium_whole(t):
+def cdc_debezium(t):
     body = ev.formatted(_log(t), "debezium")
     return body.select("seq", F.get_json_object("body", "$.payload.op").alias("op"), F.get_json_object("body", "$.payload.after.event_type").alias("kind"))
 
 
-@query(_EV + "SELECT seq, upper(op) AS kind, CASE WHEN op <> 'insert' THEN event_type END AS old FROM log WHERE seq < 500")
-def cdc_supabase(t):
-    body = ev.formatted(_log(t).where("seq < 500"), "supabase")
-    return body.select("seq", F.get_json_object("body", "$.type").alias("kind"), F.get_json_object("body", "$.old_record.event_type").alias("old"))
-
-
 @query(_EV + "SELECT seq, upper(op) AS kind, CASE WHEN op <> 'insert' THEN event_type END AS old FROM log")
-def cdc_supabase_whole(t):
+def cdc_supabase(t):
     body = ev.formatted(_log(t), "supabase")
     return body.select("seq", F.get_json_object("body", "$.type").alias("kind"), F.get_json_object("body", "$.old_record.event_type").alias("old"))
 
 
-@query(_EV + "SELECT seq, op, event_type AS kind FROM log WHERE seq < 500")
-def cdc_native(t):
-    body = ev.formatted(_log(t).where("seq < 500"), "other")
-    return body.select("seq", F.get_json_object("body", "$.op").alias("op"), F.get_json_object("body", "$.payload.event_type").alias("kind"))
-
-
 @query(_EV + "SELECT seq, op, event_type AS kind FROM log")
-def cdc_native_whole(t):
+def cdc_native(t):
     body = ev.formatted(_log(t), "other")
     return body.select("seq", F.get_json_object("body", "$.op").alias("op"), F.get_json_object("body", "$.payload.event_type").alias("kind"))
 
@@ -245,24 +220,18 @@ def _stream(t):
     return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
 
 
-def _name(kind: str) -> str:
-    import uuid
-
-    return f"{kind}_{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'purchase'")
 def stream_poll(t):
-    return ev.finished(_stream(t).where("event_type = 'purchase'").select("event_id", "event_type"), _name("poll"))
+    return ev.finished(_stream(t).where("event_type = 'purchase'").select("event_id", "event_type"), work_folder(t.spark, "kelvane-streams"))
 
 
 @query("SELECT event_id FROM events")
 def stream_dedupe(t):
     twice = _stream(t).withColumn("ts", c("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(lit(1), lit(2))))
-    return ev.finished(ev.deduplicated(twice, "event_id").select("event_id"), _name("dedupe"))
+    return ev.finished(ev.deduplicated(twice, "event_id").select("event_id"), work_folder(t.spark, "kelvane-streams"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL", name="stream_tumbling_extra")
 def stream_tumbling(t):
     rows = _stream(t).groupBy(F.window(c("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(lit(1)).alias("n"))
-    return ev.finished(rows, _name("tumbling"), "complete").select(c("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    return ev.finished(rows, work_folder(t.spark, "kelvane-streams"), "complete").select(c("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import introspect, resource
 from ..operators.engine import Engine
 from ..operators.security import Access, Policy, Principal
 from ..operators.store import Spec, duplicates, orphans, violations
+from ..session import work_folder
 from .base import query
 
 c, lit = F.col, F.lit
 
 
 def _folder(t) -> str:
-    """A new folder: beside the cluster's checkpoints if it has them."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/kelvane-tables/{uuid.uuid4().hex}"
+    return work_folder(t.spark, "kelvane-tables")
 
 
 def _accounts(t, **options):
@@ -183,14 +179,8 @@ def rest_filter(t):
     return resource.collection(_tables(t), "orders", select="o_orderkey,o_totalprice", filters={"o_totalprice": "gte.100000", "o_orderstatus": "in.(F,P)", "o_custkey": "neq.3"}, order="o_totalprice.desc,o_orderkey.asc", limit=20, offset=5)
 
 
-@query("SELECT o_orderkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 300")
-def rest_embed_forward(t):
-    df = resource.collection(_tables(t), "orders", KEYS, "o_orderkey,customer(c_name,c_nationkey)", {"o_orderkey": "lt.300"})
-    return df.select("o_orderkey", "customer.c_name", "customer.c_nationkey")
-
-
 @query("SELECT o_orderkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def rest_embed_forward_whole(t):
+def rest_embed_forward(t):
     df = resource.collection(_tables(t), "orders", KEYS, "o_orderkey,customer(c_name,c_nationkey)")
     return df.select("o_orderkey", "customer.c_name", "customer.c_nationkey")
 

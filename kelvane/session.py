@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,3 +36,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the named tables."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def work_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for tables and streams: beside the cluster's checkpoints; on one machine without them, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ import hmac
 import json
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,27 +31,37 @@ class EventLog:
 
     # storage
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _replace(self, df: DataFrame, path: str) -> None:
-        """Write df beside path, then put it in place."""
-        temporary = f"{path}.{uuid.uuid4().hex}"
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folder(self, kind: str) -> str | None:
+        """The latest numbered folder of a kind (log, offsets): kind-N. A replacement is written whole under the next number."""
+        top, fs = self._fs()
+        found = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        numbers = [int(n.split("-")[1]) for n in found if n.startswith(f"{kind}-") and n.split("-")[1].isdigit()]
+        return f"{self.folder}/{kind}-{max(numbers)}" if numbers else None
+
+    def _replace(self, df: DataFrame, kind: str) -> None:
+        """Write df beside the current folder, then put it in place by one rename to the next number; the one before stays for its readers until the next time."""
+        top, fs = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        now = self._folder(kind)
+        number = int(now.rsplit("-", 1)[1]) + 1 if now else 1
+        temporary = f"{self.folder}/new-{kind}.{uuid.uuid4().hex}"
         df.write.parquet(temporary)
-        new, old = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (temporary, path))
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{path} can't be put in place")
+        if not fs.rename(path(temporary), path(f"{self.folder}/{kind}-{number}")):
+            raise OSError(f"{kind} can't be put in place")
+        if number > 2:
+            fs.delete(path(f"{self.folder}/{kind}-{number - 2}"), True)
 
     def events(self) -> DataFrame:
-        path = f"{self.folder}/log"
-        return self.spark.read.schema(EVENTS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], EVENTS)
+        path = self._folder("log")
+        return self.spark.read.schema(EVENTS).parquet(path) if path else self.spark.createDataFrame([], EVENTS)
 
     def offsets(self) -> DataFrame:
-        path = f"{self.folder}/offsets"
-        return self.spark.read.schema(OFFSETS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], OFFSETS)
+        path = self._folder("offsets")
+        return self.spark.read.schema(OFFSETS).parquet(path) if path else self.spark.createDataFrame([], OFFSETS)
 
     # capture
 
@@ -87,7 +97,7 @@ class EventLog:
         seq = F.lit(self.head()) + F.col("_base") + F.col("_n")
         now = int(time.time() * 1000)
         out = numbered.select(seq.cast("long").alias("seq"), F.lit(xid or uuid.uuid4().hex).alias("xid"), F.lit(table).alias("table_name"), F.lit(op).alias("op"), "before", "after", F.lit(now).cast("long").alias("ts_ms"))
-        out.sortWithinPartitions("seq").write.mode("append").parquet(f"{self.folder}/log")
+        out.sortWithinPartitions("seq").write.mode("append").parquet(self._folder("log") or f"{self.folder}/log-1")
 
     # consumption
 
@@ -99,7 +109,7 @@ class EventLog:
     def ack(self, consumer: str, seq: int) -> None:
         """Set the consumer's offset; registers the consumer."""
         rest = [(r["consumer"], r["offset"]) for r in self.offsets().where(F.col("consumer") != consumer).collect()]  # one row a consumer
-        self._replace(self.spark.createDataFrame([*rest, (consumer, seq)], OFFSETS).coalesce(1), f"{self.folder}/offsets")
+        self._replace(self.spark.createDataFrame([*rest, (consumer, seq)], OFFSETS).coalesce(1), "offsets")
 
     def vacuum(self) -> int:
         """Drop events that every consumer has acknowledged; without consumers nothing. Returns their number."""
@@ -109,15 +119,20 @@ class EventLog:
         old = self.events()
         gone = old.where(F.col("seq") <= least).count()
         if gone:
-            self._replace(old.where(F.col("seq") > least), f"{self.folder}/log")
+            self._replace(old.where(F.col("seq") > least), "log")
         return gone
 
+    def forget_after(self, seq: int) -> None:
+        """Remove events after seq: those of a transaction that failed."""
+        if self.head() > seq:
+            self._replace(self.events().where(F.col("seq") <= seq), "log")
+
     def lag(self) -> DataFrame:
         return lag(self.offsets(), self.events())
 
     def stream(self, max_files: int = 1000) -> DataFrame:
         """A streaming read of the log; its checkpoint is the offset."""
-        return self.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).parquet(f"{self.folder}/log")
+        return self.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).parquet(self._folder("log") or f"{self.folder}/log-1")
 
 
 def poll_after(events: DataFrame, seq: int, limit: int) -> DataFrame:
@@ -128,8 +143,12 @@ def poll_after(events: DataFrame, seq: int, limit: int) -> DataFrame:
 def lag(offsets: DataFrame, events: DataFrame, now_ms: int | None = None) -> DataFrame:
     """consumer, offset, max_seq, lag_events, oldest_ts_ms of what is unread, and lag_seconds if now_ms is given; by consumer."""
     top = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("max_seq"))
-    unread = events.select("seq", "ts_ms").join(F.broadcast(offsets), F.col("seq") > F.col("offset"))  # one row a consumer
-    oldest = unread.groupBy("consumer").agg(F.min("ts_ms").alias("oldest_ts_ms"))
+    # events fall into the intervals between offsets; an interval's oldest event is unread by every consumer whose offset lies before it
+    cuts = offsets.agg(F.sort_array(F.collect_set("offset")).alias("cuts"))  # a number a consumer
+    placed = events.select("seq", "ts_ms").crossJoin(cuts).select(F.size(F.filter("cuts", lambda x: x < F.col("seq"))).alias("interval"), "ts_ms")
+    first = placed.groupBy("interval").agg(F.min("ts_ms").alias("ts_ms"))
+    own = offsets.crossJoin(cuts).select("consumer", F.array_position("cuts", F.col("offset")).alias("own"))
+    oldest = own.join(first, F.col("interval") >= F.col("own")).groupBy("consumer").agg(F.min("ts_ms").alias("oldest_ts_ms"))
     out = offsets.crossJoin(top).join(oldest, "consumer", "left")
     out = out.withColumn("lag_events", F.greatest(F.lit(0), F.col("max_seq") - F.col("offset")))
     out = out.select("consumer", "offset", "max_seq", "lag_events", "oldest_ts_ms")
@@ -226,9 +245,11 @@ def dispatch(log: EventLog, route: Route, limit: int = 100, attempts: int = 3, w
 
 def webhook_targets(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """seq and url of every delivery; hooks: url, table (or *), ops (array; empty: all)."""
-    h = F.broadcast(hooks.select("url", F.col("table").alias("_table"), F.col("ops").alias("_ops")))  # registered hooks
-    fits = ((F.col("_table") == "*") | (F.col("_table") == F.col("table_name"))) & ((F.size("_ops") == 0) | F.array_contains("_ops", F.col("op")))
-    return events.join(h, fits).select("seq", "url")
+    ops = F.when(F.size("ops") == 0, F.array(*[F.lit(o) for o in OPS])).otherwise(F.col("ops"))
+    h = hooks.select("url", F.col("table").alias("_table"), F.explode(F.array_distinct(ops)).alias("_op"))
+    same = F.col("_op") == F.col("op")
+    named = events.join(h.where("_table <> '*'"), same & (F.col("_table") == F.col("table_name")))
+    return named.select("seq", "url").unionAll(events.join(h.where("_table = '*'"), same).select("seq", "url"))
 
 
 def signature(secret: str, body: str) -> str:
@@ -245,14 +266,15 @@ def latest(events: DataFrame, key: Column) -> DataFrame:
 def apply_changes(target: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """target after all events of its table: inserts and updates put the after image, deletes remove the key."""
     schema = target.schema
-    image = F.coalesce(F.col("after"), F.col("before"))
-    rows = events.withColumn("_key", F.get_json_object(image, f"$.{key}"))
-    # an update that changes the key also removes the old one
-    moved = rows.where((F.col("op") == "update") & F.col("before").isNotNull()).withColumn("_key", F.get_json_object("before", f"$.{key}")).withColumn("after", F.lit(None).cast("string"))
-    moved = moved.withColumn("seq", F.col("seq") - F.lit(0.5))
-    both = rows.withColumn("seq", F.col("seq").cast("double")).unionByName(moved)
-    last = both.groupBy("_key").agg(F.max_by(F.struct("op", "after"), "seq").alias("e"))
-    kept = target.join(last.select("_key"), F.col(key).cast("string") == F.col("_key"), "left_anti")
+    # the key of each image is the only member read of every event; whole images are parsed for each key's last event alone
+    image = F.when(F.col("op") == "delete", F.col("before")).otherwise(F.coalesce("after", "before"))
+    rows = events.select("seq", "op", F.when(F.col("op") != "delete", F.col("after")).alias("after"), F.get_json_object(image, f"$.{key}").alias("_key"), F.when(F.col("op") == "update", F.get_json_object("before", f"$.{key}")).alias("_old"))
+    # an update that changes the key also removes the old one, before anything later
+    events_of = F.array(F.struct(F.col("_key").alias("k"), F.col("seq").cast("double").alias("s"), F.col("op"), F.col("after")))
+    moved = F.array(F.struct(F.col("_old").alias("k"), (F.col("seq") - F.lit(0.5)).alias("s"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("after")))
+    both = rows.select(F.inline(F.when(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_key")), F.concat(events_of, moved)).otherwise(events_of)))
+    last = both.groupBy("k").agg(F.max_by(F.struct("op", "after"), "s").alias("e"))
+    kept = target.join(last.select("k"), F.col(key).cast("string") == F.col("k"), "left_anti")
     put = last.where("e.op <> 'delete' and e.after is not null").select(F.from_json("e.after", schema).alias("r")).select("r.*")
     return kept.unionByName(put)
 
@@ -273,12 +295,22 @@ def deduplicated(stream: DataFrame, key: str = "seq", time_column: str = "ts", d
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark([key])
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All of a finite stream's output, through an in-memory sink."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All of a finite stream's output, written as Parquet under folder and read back; nothing is gathered in the driver.
 
+    In complete mode each batch holds the whole result, and the last one counts.
+    """
 
-def routes(names: Iterable[str]) -> list[str]:
-    return sorted(names)
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark, schema = stream.sparkSession, stream.schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path)) if fs.exists(path) else []
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    chosen = numbers[-1:] if mode == "complete" else numbers
+    return spark.read.schema(schema).parquet(*[f"{folder}/out/batch={k}" for k in chosen])
