@@ -178,3 +178,30 @@ def root_field(tables: dict[str, DataFrame], base: str, args: dict[str, object]
     df = df.offset(offset) if offset else df
     df = df.limit(limit) if limit is not None else df
     return df.select(*columns) if columns else df
+
+
+def upsert(engine, table: str, rows: list[dict], on_conflict: str | None = None, resolution: str | None = None, principal=None) -> DataFrame:
+    """Insert rows of an API request; resolution: merge-duplicates, ignore-duplicates or None (a conflict is an error). Returns the affected rows.
+
+    All rows have the same columns. on_conflict names the key (`a,b`); without it the primary key.
+    """
+    from .dialect import literal
+
+    if not rows or any(r.keys() != rows[0].keys() for r in rows):
+        raise BadRequest("rows have the same columns, and there is at least one")
+    spec = engine.store.spec(table)
+    columns = list(rows[0])
+    unknown = [c for c in columns if c not in spec.columns]
+    if unknown:
+        raise BadRequest(f"unknown column {unknown[0]}")
+    target = [c.strip() for c in on_conflict.split(",")] if on_conflict else spec.primary
+    if resolution not in (None, "merge-duplicates", "ignore-duplicates") or on_conflict and resolution is None:
+        raise BadRequest("resolution is merge-duplicates or ignore-duplicates")
+    if resolution and not target or [c for c in target if c not in spec.columns]:
+        raise BadRequest("no such conflict target")
+    text = f"INSERT INTO {table} ({', '.join(columns)}) VALUES " + ", ".join("(" + ", ".join(literal(r[c]) for c in columns) + ")" for r in rows)
+    if resolution:
+        rest = [c for c in columns if c not in target]
+        merge = resolution == "merge-duplicates" and rest
+        text += f" ON CONFLICT ({', '.join(target)}) DO " + ("UPDATE SET " + ", ".join(f"{c} = EXCLUDED.{c}" for c in rest) if merge else "NOTHING")
+    return engine.sql(f"{text} RETURNING *", principal=principal)

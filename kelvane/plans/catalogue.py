@@ -6,7 +6,7 @@ from .base import ORACLE, QUERIES
 
 
 def _load() -> None:
-    from . import multimodel, relational, writes  # noqa: F401  registers
+    from . import multimodel, relational, surface, writes  # noqa: F401  registers
 
 
 def queries() -> dict:

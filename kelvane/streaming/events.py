@@ -140,6 +140,20 @@ def poll_after(events: DataFrame, seq: int, limit: int) -> DataFrame:
     return events.where(F.col("seq") > seq).orderBy("seq").limit(limit)
 
 
+def subscribe(log: EventLog, consumer: str | None = None, from_seq: int | None = None, table: str | None = None, limit: int = 100, kind: str = "native") -> DataFrame:
+    """The next events for a subscriber, formatted, ascending: after a durable consumer's offset, else after from_seq, else after what there is now.
+
+    Reads only; a durable consumer acknowledges the last seq it has handled.
+    """
+    if consumer is not None:
+        row = log.offsets().where(F.col("consumer") == consumer).first()
+        start = row["offset"] if row else from_seq or 0
+    else:
+        start = log.head() if from_seq is None else from_seq
+    rows = log.events() if table is None else log.events().where(F.col("table_name") == table)
+    return formatted(poll_after(rows, start, limit), kind).orderBy("seq")
+
+
 def lag(offsets: DataFrame, events: DataFrame, now_ms: int | None = None) -> DataFrame:
     """consumer, offset, max_seq, lag_events, oldest_ts_ms of what is unread, and lag_seconds if now_ms is given; by consumer."""
     top = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("max_seq"))
