@@ -119,6 +119,15 @@ def test_lines_against_brute_force(docs, none):
     assert line_dedup.apply_bitmaps(none, line_dedup.drop_bitmaps(none)).count() == 0
 
 
+def test_texts_of_very_many_runs(spark):
+    own = 30_000
+    long = "\n".join(x for k in range(own) for x in (LINE, f"own {k}"))
+    df = spark.createDataFrame([(k, long if k == 1 else LINE) for k in range(1, 8)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in line_dedup.apply_bitmaps(df, line_dedup.drop_bitmaps(df)).collect()}
+    assert got[1]["n_dropped"] == own and got[1]["n_lines"] == 2 * own and got[1]["text"] == "\n".join(f"own {k}" for k in range(own))
+    assert got[7]["text"] == LINE and got[3]["n_dropped"] == 1
+
+
 def test_bitmaps_are_runs(docs):
     runs = {r["doc_id"]: r["runs"] for r in line_dedup.drop_bitmaps(docs).collect()}
     assert runs == {1: [0, 1], 2: [0, 1], 3: [0, 1], 4: [0, 2], 5: [1, 1]}
@@ -207,6 +216,26 @@ def test_quality_scores_are_exact_votes():
     assert quality.fit(np.empty((0, quality.WIDTH)), []).score(some).tolist() == [0.5] * 4
 
 
+def test_projection_keeps_the_cosines_of_its_rows():
+    import numpy as np
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "##", "%%"], k=rng.randrange(3, 30))) for _ in range(40)]
+    counts = quality.term_counts(texts)
+    model = quality.fit(counts, [k % 2 for k in range(40)])  # fewer rows than dimensions, so nothing is cut off
+    weight = np.log((1 + 40) / (1 + (counts > 0).sum(axis=0))) + 1
+    x = np.log1p(counts.astype(float)) * weight
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.abs(model.vectors @ model.vectors.T - x @ x.T).max() < 1e-3
+    low = np.linalg.svd(x, full_matrices=False)[2]
+    other = quality.term_counts(["alpha beta %% other words", "gamma gamma"])
+    y = np.log1p(other.astype(float)) * weight
+    y = y / np.linalg.norm(y, axis=1, keepdims=True) @ low.T
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = y @ (x @ low.T / np.linalg.norm(x @ low.T, axis=1, keepdims=True)).T
+    assert np.abs(model.place(other) @ model.vectors.T - want).max() < 1e-3
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (3, 0), (None, 1), (4, None), (99, 0), (12, 0)], "doc_id bigint, quality int")
     assert quality.scored(docs, quality.learn(docs, labels)).count() == len(rows())
@@ -365,6 +394,49 @@ def test_mix(spark, docs, none):
     assert mixing.mixed_rows(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("buckets", [3, 64])
+def test_mix_takes_what_the_whole_queue_gives(spark, buckets):
+    """Every copy in one sorted list, cut where the budget ends."""
+    rng = random.Random(12)
+    data = [(rng.randrange(900) if k % 50 else None, " ".join("w" for _ in range(rng.randrange(0, 30))), rng.choice(["a", "b", "b", "c", None])) for k in range(1000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    got = Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix(df, buckets=buckets).collect())
+    rows = df.selectExpr("doc_id", "source", "text").collect()
+    turns = df.select(mixing.word_count(df["text"]).alias("size"), "doc_id", "source").selectExpr("doc_id", "source", "size", "xxhash64('mix', doc_id, size) AS turn").collect()
+    assert len(rows) == len(turns)
+    target, budget = slow_mix([(r["doc_id"], r["size"], r["source"]) for r in turns], 1.5, 2, (5, 2, 1))
+    names = sorted({r["source"] for r in turns}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    size_of = Counter()
+    for r in turns:
+        size_of[r["source"]] += r["size"]
+    first = lambda i: (i is not None, i or 0)  # noqa: E731  null ids are smallest
+    copies, upto = [], {}
+    for s in names:
+        mine = sorted((r for r in turns if r["source"] == s), key=lambda r: ((r["turn"] >> 32) % buckets, r["turn"], first(r["doc_id"]), r["size"]))
+        total, k = 0, 0
+        while k < len(mine):  # equal rows stand at one place
+            same = [r for r in mine[k:] if (r["turn"], r["doc_id"], r["size"]) == (mine[k]["turn"], mine[k]["doc_id"], mine[k]["size"])]
+            total += sum(r["size"] for r in same)
+            for r in same:
+                for j in range(2 * bool(r["size"])):
+                    copies.append((((j * size_of[s] + total) / weight[s]), r["turn"], first(r["doc_id"]), r["size"], s))
+            k += len(same)
+    copies.sort(key=lambda x: x[:4])
+    taken, used, k = Counter(), 0, 0
+    while k < len(copies):
+        same = [x for x in copies[k:] if x[:4] == copies[k][:4]]
+        used += sum(x[3] for x in same)
+        if used > budget:
+            break
+        for x in same:
+            taken[x[1], x[2], x[3], x[4]] += x[3]
+        k += len(same)
+    alike = Counter((r["turn"], first(r["doc_id"]), r["size"], r["source"]) for r in turns)
+    want = Counter((r["doc_id"], r["source"], r["size"], taken[(key := (r["turn"], first(r["doc_id"]), r["size"], r["source"]))] // alike[key]) for r in turns)
+    assert got == want
+
+
 # 7
 
 
@@ -565,6 +637,18 @@ def test_boilerplate_without_telling_names(spark):
     assert got[100] == "" and got[101] == "not found"
 
 
+def test_the_wrapper_alone_finds_the_articles(spark):
+    """With every tag that tells a role made a div, and no class, the texts are those of the tagged pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.groupBy(html_wrappers.host_of(pages["url"]).alias("host")).count().where("count >= 8")
+    some = pages.withColumn("host", html_wrappers.host_of(pages["url"])).join(hosts, "host").select("page_id", "url", "html")
+    bare = some.selectExpr("page_id", "url", r"regexp_replace(regexp_replace(html, '<(/?)(article|nav|footer|main|aside|header)\\b', '<$1div'), ' class=\"[^\"]*\"', '') AS html")
+    assert bare.where("html LIKE '%<article%' OR html LIKE '%<nav%'").count() == 0
+    want = {r["page_id"]: r["text"] for r in html_wrappers.extract(some).collect()}
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(bare).collect()}
+    assert len(got) > 50 and got == want
+
+
 def test_near_copies_keep_what_they_share(spark):
     lines = [f"line {k} that all copies share" for k in range(20)]
     html = lambda k: "<html><body><div>Menu</div><article>" + "".join(f"<p>{x}</p>" for x in [*lines, f"edited {k}"]) + "</article></body></html>"
@@ -611,6 +695,43 @@ def test_reshard(spark, docs, none):
     assert sharding.reshard(spark.read.parquet(path), new_path(spark, "t-shards")).count() == 0
 
 
+def test_reshard_leaves_unaffected_shards_alone(spark):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = new_path(spark, "t-docs").removeprefix("file://")
+    os.makedirs(path)
+    text, at = "w" * 84, 0
+    for k, n in enumerate((200, 200, 280, 120)):  # 100 bytes a row, 20,000 a shard
+        pq.write_table(pa.table({"doc_id": pa.array(range(at, at + n), pa.int64()), "text": [text] * n, "slot": ["own"] * n}), f"{path}/part-{k}.parquet")
+        at += n
+    folder = new_path(spark, "t-shards")
+    got = sharding.reshard(spark.read.parquet(path), folder, 4).collect()
+    assert Counter(r["shard"] for r in got) == {0: 200, 1: 200, 2: 200, 3: 200}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == j) == list(range(200)) for j in range(4)) and len({r["doc_id"] for r in got}) == 800
+    assert {r["doc_id"] for r in got if r["shard"] == 0} == set(range(200)) and sum(r["doc_id"] in range(400, 680) and r["shard"] == 3 for r in got) == 80
+    written = {x for x in os.listdir(folder.removeprefix("file://") + "/moved") if x.startswith("shard=")}
+    assert written == {"shard=2", "shard=3"}
+    stays = {r["file"].rsplit("/", 1)[1]: r["shard"] for r in spark.read.parquet(f"{folder}/_manifest").collect()}
+    assert stays == {"part-0.parquet": 0, "part-1.parquet": 1}
+
+
+def test_reshard_of_one_file_with_many_large_documents(spark):
+    rng = random.Random(3)
+    made = [(k, "x" * (5000 if rng.random() < 0.1 else rng.randrange(0, 300))) for k in range(3000)]
+    path = new_path(spark, "t-docs")
+    spark.createDataFrame(made, "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    got = sharding.reshard(spark.read.parquet(path), new_path(spark, "t-shards"), 8).collect()
+    assert Counter((r["doc_id"], len(r["text"])) for r in got) == Counter((i, len(t)) for i, t in made)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += len(r["text"]) + 16
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 6000
+    assert all(sorted(r["slot"] for r in got if r["shard"] == j) == list(range(sum(r["shard"] == j for r in got))) for j in range(8))
+
+
 # 10
 
 
@@ -650,3 +771,38 @@ def test_rules_measures_follow_the_vocabulary():
     assert n == 7 and chars == 30 and tokens > 7 and 0 < fallback < 1 and per_token == chars / tokens and entropy > 1 and script == "latin"
     assert tokenizer_rules.script_of("これは日本語") == "other" and tokenizer_rules.script_of("") == "latin"
     assert tokenizer_rules.measures_of(None, pieces)[:6] == (0, 0, 0, 0, 0, 0)
+
+
+def test_kept_by_brute_force(spark):
+    """Measures from whole-word encodings by the library, then the bands, by their definitions."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = Counter()
+    for r in tokenizer_rules.apply_rules(docs).collect():
+        kept[r["doc_id"]] += 1
+        text = docs_by_id(docs)[r["doc_id"]]
+        ids = [i for w in words(text["text"]) for i in model.encode(w)]
+        n = len(ids)
+        chars = sum(len(w) for w in words(text["text"])) / max(1, n)
+        fallback = sum(model.is_byte(i) for i in ids) / max(1, n)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+        letters = [ord(x) for x in text["text"] or "" if ord(x) > 64 and not 91 <= ord(x) <= 96]
+        script = "latin" if not letters or sum(x < 0x250 for x in letters) >= len(letters) / 2 else "other"
+        band = tokenizer_rules.BANDS["other" if script == "other" else text["lang"] if text["lang"] in ("en", "de", "fr", "es") else script]
+        inside = (band.least_chars if n >= band.settled else band.short_chars) <= chars <= band.most_chars and fallback <= band.most_fallback
+        inside = inside and (n < band.settled or entropy >= band.least_entropy)
+        assert (r["n_tokens"], r["kept"]) == (n, inside and not r["base_failed"]), r["doc_id"]
+        assert abs(r["chars_per_token"] - chars) < 1e-9 and abs(r["fallback_share"] - fallback) < 1e-9 and abs(r["token_entropy"] - entropy) < 1e-9
+    assert set(kept.values()) == {1}
+
+
+_BY_ID = {}
+
+
+def docs_by_id(docs):
+    if not _BY_ID:
+        _BY_ID.update({r["doc_id"]: r for r in docs.collect()})
+    return _BY_ID
