@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kelvane.llm import decontaminate, mixing, quality, simhash, token_files
-from kelvane.llm.common import new_path, stored
+from kelvane.llm.common import STORED, new_path, remove_stored, stored
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over what the stage before kept, each written as Parquet and read again."""
+    """Every stage over what the stage before kept, each written as Parquet and read again; then what the stage and the one before it left in the shared folder goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = list(STORED)  # not this run's to remove
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        remove_stored(spark, keep=[*others, STORED[-1]])
     return docs
