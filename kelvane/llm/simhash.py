@@ -11,7 +11,8 @@
    the parent; a search follows only edges within the radius of the distance just
    measured. A shard's tree is built where its rows are. Broadcasting all trees has no
    size bound; a shard's tree goes to the one task that reads it. A shard of over
-   SHARD fingerprints is cut again by pairs of blocks of its free bits.
+   SHARD fingerprints is cut again by pairs of blocks of its free bits; one of over HOT
+   is cut so before it is dealt, and its parts go to different tasks.
 5. A shard yields a star (member, smallest member) for each of its components,
    never all pairs. Stars merge by alternating large-star and small-star rounds,
    each written to the shared folder.
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import sized_batches, stored
 
 RADIUS, SEED, SHARD = 3, 42, 2048
+#: Fingerprints of one shard above which it is dealt by inner blocks, so that no task holds all of it.
+HOT = 16_384
 #: The pipeline's rule: texts whose sets of WIDTH-word shingles have a Jaccard similarity of SIMILAR at least.
 WIDTH, SIMILAR = 5, 0.8
 #: BANDS keys of ROWS min-hashes each: a pair at SIMILAR shares none with probability (1 - 0.8 ** 6) ** 32 = 0.00006.
@@ -176,12 +179,30 @@ def stars(values: list[int], used: int, radius: int) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Stars (a, b) that connect all distinct fingerprints (column fp) at radius or fewer differing bits."""
-    masks = MASKS if radius == 3 else block_masks(list(range(64)), radius + 2, 2)
+def dealt(distinct: DataFrame, masks: list[int], first: int = 0) -> DataFrame:
+    """fp, t (the number of a mask, counted from first) and key (the fingerprint's bits under it)."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])
-    shards = distinct.select("fp", F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(first + k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])
+    return distinct.select("fp", F.inline(rows))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Stars (a, b) that connect all distinct fingerprints (column fp) at radius or fewer differing bits."""
+    masks = list(MASKS if radius == 3 else block_masks(list(range(64)), radius + 2, 2))
+    shards = dealt(distinct, masks)
+    big = stored(shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("t", "key"), "hot-shards")
+    asked = {r["t"] for r in big.select("t").distinct().collect()}  # masks, ten at most
+    if asked:
+        plain, parts = shards.join(big, ["t", "key"], "left_anti").select("fp", "t", "key"), []
+        for t in sorted(asked):
+            free = [i for i in range(64) if not masks[t] >> i & 1]
+            finer = [masks[t] | m for m in block_masks(free, radius + 2, 2)]
+            own = shards.where(F.col("t") == t).join(big, ["t", "key"], "left_semi").select("fp")
+            parts.append(dealt(own, finer, len(masks)))
+            masks += finer
+        shards = plain
+        for x in parts:
+            shards = shards.union(x)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = shards.repartition(n, "t", "key").sortWithinPartitions("t", "key", "fp")
 
@@ -267,7 +288,7 @@ def band_keys(shingles) -> list[int]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, line (hash of the words) and keys (of bands; none for texts of WIDTH words or fewer)."""
+    """doc_id, th (the text's hash), fp, line (hash of the words) and keys (of bands; none for texts of WIDTH words or fewer)."""
     sized_batches(docs.sparkSession)
 
     def run(batches):
@@ -282,10 +303,11 @@ def prints(docs: DataFrame) -> DataFrame:
                 lines.append(line_hash(words))
                 keys.append(band_keys(np.unique(shingle_hashes(words, WIDTH))) if len(words) > WIDTH else [])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, lines)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "line", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *longs, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "line", "keys"])
 
-    kind = "doc_id bigint, fp bigint, line bigint, keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
+    kind = "doc_id bigint, th bigint, fp bigint, line bigint, keys array<bigint>"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, kind)
 
 
 def line_hash(words: list[bytes]) -> int:
@@ -376,6 +398,18 @@ def similar_links(docs: DataFrame, found: DataFrame, similar: float = SIMILAR) -
     return buckets.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def classes(fps: DataFrame, radius: int, more=None) -> DataFrame:
+    """fp, root (a fingerprint that names its component) and component_id (the component's smallest doc_id) of every fingerprint of fps (doc_id, fp). more(): other stars."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    edges = links(distinct.select("fp"), radius)
+    roots = components(edges if more is None else edges.union(more()))
+    nodes = roots.union(roots.select("root", "root").distinct())
+    least = distinct.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = nodes.join(least, "root").select("fp", "root", "component_id")
+    out = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return stored(out, "classes")  # a plain side, so a hot fingerprint's partition can be split
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, similar: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) for every row of docs (doc_id, text).
 
@@ -383,24 +417,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, simil
     """
     if similar is None:
         fps = stored(fingerprints(docs, width), "fingerprints")
-    else:
-        found = stored(prints(docs), "prints")
-        fps = found.select("doc_id", "fp")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    edges = links(distinct.select("fp"), radius)
-    roots = components(edges if similar is None else edges.union(similar_links(docs, found, similar)))
-    nodes = roots.union(roots.select("root", "root").distinct())
-    least = distinct.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = nodes.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(stored(classes, "classes"), "fp")  # a plain side, so a hot fingerprint's partition can be split
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of docs without near-duplicates (links of op5 and of SIMILAR): of each group the row with the smallest doc_id stays (of repeated ids, all of that id; rows without an id stay)."""
-    found = near_duplicates(docs, similar=SIMILAR)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+        return fps.join(classes(fps, radius).drop("root"), "fp")
+    found = stored(prints(docs), "prints")
+    fps = found.select("doc_id", "fp")
+    return fps.join(classes(fps, radius, lambda: similar_links(docs, found, similar)).drop("root"), "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Rows of docs without near-duplicates (links of op5 and of `similar`): of each group one row stays, that of the smallest doc_id
+    (null ids last), of rows with that id that of the least text hash, of equal rows any one."""
+    found = stored(prints(docs), "prints")
+    known = classes(found.select("doc_id", "fp"), RADIUS, lambda: similar_links(docs, found, similar))
+    rows = found.select("doc_id", "th", "fp").join(known.select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
+    kept = rows.groupBy("root").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.th").alias("_kept_text"), "root", "n")
+    kept = stored(kept, "kept")
+    gone = rows.join(kept.where("n > 1"), "root").where(~(F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("th") == F.col("_kept_text"))))
+    gone = stored(gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_text")).distinct(), "gone")
+    same = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["_gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["_gone_text"])
+    out = docs.join(gone, same(gone), "left_anti")
+    again = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stored(again.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_text")), "repeated")
+    if again.isEmpty():
+        return out
+    # rows that are equal in id and text: one of each stays
+    once = out.join(again, same(again), "left_anti")
+    repeated = out.join(again, same(again), "left_semi").withColumns({"_id_": F.col("doc_id").cast("long"), "_th_": F.xxhash64(F.col("text").cast("string"))})
+    return once.unionByName(repeated.dropDuplicates(["_id_", "_th_"]).drop("_id_", "_th_"))
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_quality_scores_are_exact_votes():
     assert quality.fit(np.empty((0, quality.WIDTH)), []).score(some).tolist() == [0.5] * 4
 
 
+def test_repeats_win_inside_the_learning_folds(spark):
+    """What README says of the choice of REPEATS, on the small tables: the held-out fold is not read."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in labels}
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if fold.get(r["doc_id"], 2) != 2]
+    counts = quality.term_counts([r["text"] for r in rows])
+    y, folds = [labels[r["doc_id"]] for r in rows], [fold[r["doc_id"]] for r in rows]
+    without = counts.copy()
+    without[:, quality.HASHED :] = 0
+    chosen = quality.cross_validated(counts, y, folds)
+    assert chosen > 0.97 and chosen >= quality.cross_validated(without, y, folds)
+
+
 def test_projection_keeps_the_cosines_of_its_rows():
     import numpy as np
 
@@ -353,6 +366,38 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, docs):
+    """Repeated rows, rows without an id, and one id on two texts of which one is a copy."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    data = [(1, text(1)), (1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(1)), (4, text(4)), (5, None), (6, " "), (5, text(5))]
+    df = spark.createDataFrame([(*r, "x", 7) for r in data], "doc_id bigint, text string, fp string, root int")
+    kept = simhash.drop_near_duplicates(df)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, text(1)), (0, text(2)), (3, text(3)), (4, text(4)), (5, None), (5, text(5))], key=repr) and kept.columns == df.columns
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_hot_shards_lose_no_link(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    values = list({base ^ sum(1 << b for b in rng.sample(range(20, 64), rng.randrange(0, 9))) for _ in range(600)})
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    df = spark.createDataFrame(signed, "fp bigint")
+    want = Counter(Counter(slow_components(values)).values())
+    for hot in (16_384, 40):
+        pairs = [(r["a"], r["b"]) for r in simhash.links(df, hot=hot).collect()]
+        parent = {v: v for (v,) in signed}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[top(a)] = top(b)
+        assert Counter(Counter(top(v) for (v,) in signed).values()) == want
+
+
 # 6
 
 
