@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space between tokens; runs of what is neither letter nor number at a token's edges.
-SPACE, EDGES = r"(?U)\s+", r"(?U)(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
+SPACE, EDGES = r"(?U)\s+", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
 def tokenize(c: Column) -> Column:
     """The distinct tokens of a text: split at white space, edges trimmed, lower case, empty ones dropped."""
-    words = F.split(F.regexp_replace(F.lower(c), EDGES, ""), SPACE)  # one pass over the text, none a token
-    return F.array_distinct(F.filter(words, lambda t: t != ""))
+    words = F.array_distinct(F.split(F.lower(c), SPACE))  # each distinct piece is trimmed once
+    return F.array_distinct(F.filter(F.transform(words, lambda t: F.regexp_replace(t, EDGES, "")), lambda t: t != ""))
 
 
 def match(c: Column, query: str | Column) -> Column:
@@ -36,3 +36,27 @@ def search(index: DataFrame, id_column: str, query: str) -> DataFrame:
     need = asked.agg(F.count(F.lit(1)).alias("need"))
     hits = index.join(asked, "token").groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
     return hits.join(F.broadcast(need), (F.col("n") == F.col("need")) & (F.col("need") > 0)).select(id_column)
+
+
+BUCKETS = 64
+
+
+def write_index(df: DataFrame, id_column: str, column: str, folder: str, buckets: int = BUCKETS) -> None:
+    """Store the postings under folder by buckets of tokens, sorted by token in each file, so that a search reads a few row groups of a few buckets.
+
+    A frequent token's postings are dealt by id as well, so that no task writes all of them.
+    """
+    rows = postings(df, id_column, column).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(id_column), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(folder)
+
+
+def search_index(spark, folder: str, id_column: str, query: str, buckets: int = BUCKETS) -> DataFrame:
+    """Ids that have all tokens of a query, from a stored index: only the buckets of its tokens are read."""
+    token = F.explode(tokenize(F.lit(query))).alias("token")
+    asked = spark.sql("SELECT 1").select(token).select("token", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket")).collect()  # the query's tokens
+    index = spark.read.parquet(folder)
+    if not asked:
+        return index.select(id_column).limit(0)
+    mine = index.where(F.col("bucket").isin([r["bucket"] for r in asked]) & F.col("token").isin([r["token"] for r in asked]))
+    return mine.groupBy(id_column).agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(asked)).select(id_column)

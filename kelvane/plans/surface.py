@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import jobs, resource
 from ..operators.engine import Engine
 from ..operators.graph_api import GraphApi
@@ -12,7 +13,7 @@ from ..operators.vector_index import VectorIndex
 from ..session import work_folder
 from ..streaming import events as ev
 from .base import query
-from .multimodel import _V, _first
+from .multimodel import _D, _V, _first
 from .writes import _A, KEYS, _accounts, _secured
 
 c, lit = F.col, F.lit
@@ -146,11 +147,11 @@ def info_indexes(t):
 
 def _ruled(t) -> Engine:
     e = _accounts(t)
-    for text in (
+    for statement in (
         "CREATE ROLE clerk", "CREATE USER ann", "CREATE USER root SUPERUSER", "GRANT clerk TO ann", "GRANT SELECT, UPDATE (balance, note) ON accounts TO clerk", "GRANT INSERT ON accounts TO clerk",
         "CREATE POLICY own ON accounts FOR ALL TO clerk USING (nation = 3) WITH CHECK (nation = 3 AND balance < 1000000)",
     ):
-        e.sql(text)
+        e.sql(statement)
     return e
 
 
@@ -367,7 +368,14 @@ def info_subscription_lag(t):
     return e.sql("SELECT consumer, `offset`, max_seq, lag_events FROM kelvane_catalog.subscription_lag")
 
 
-# vector index
+# stored indexes
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({_D}, ['for', 'license'])")
+def search_stored_index(t):
+    folder = work_folder(t.spark, "kelvane-index")
+    text.write_index(t.documents, "doc_id", "text", folder)
+    return text.search_index(t.spark, folder, "doc_id", "license for")
 
 
 @query(f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_V}::DOUBLE[]), 5) AS dist FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_V}::DOUBLE[]), vec_id LIMIT 10")
