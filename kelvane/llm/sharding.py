@@ -178,7 +178,7 @@ def untouched(runs: DataFrame, light: DataFrame) -> DataFrame:
 
 
 def reshard(docs: DataFrame, folder: str, shards: int = SHARDS) -> DataFrame:
-    """Rewrite the affected part of a table read from files into folders shard=N under folder; returns all rows as read back, with shard and slot.
+    """Rewrite the affected part of a table read from files into folders moved/shard=N under folder; returns all rows as read back, with shard and slot.
 
     docs must come from a file source and have the columns doc_id and text. The folder's manifest names the files that stay as they are.
     """
