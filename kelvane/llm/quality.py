@@ -93,6 +93,15 @@ class Model:
         return np.where((total > 0) & (counts.sum(axis=1) > 0), vote, 0.5)
 
 
+def scale(x):
+    """Rows of x at length 1, in place; rows of zeros stay."""
+    import numpy as np
+
+    for k in range(0, len(x), 512):  # a norm's squares are as large as its rows
+        x[k : k + 512] /= np.maximum(np.linalg.norm(x[k : k + 512], axis=1, keepdims=True), 1e-12)
+    return x
+
+
 def fit(counts, labels) -> Model:
     """Latent-semantic analysis of labelled rows (a randomised decomposition with a fixed seed)."""
     import numpy as np
@@ -100,17 +109,18 @@ def fit(counts, labels) -> Model:
     counts, labels = np.asarray(counts, np.float32), np.asarray(labels, np.float64)
     n = len(labels)
     weight = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = np.log1p(counts) * weight
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(counts)
+    del counts  # the driver holds one copy of the rows from here on
+    x *= weight
+    scale(x)
     rank = max(1, min(RANK, n))
     sketch = x.T @ (x @ np.random.default_rng(SEED).standard_normal((WIDTH, rank + 16), dtype=np.float32)) if n else np.zeros((WIDTH, 1), np.float32)
     for _ in range(4):
         sketch = x.T @ (x @ np.linalg.qr(sketch)[0])
     basis = np.linalg.qr(sketch)[0]
     _, _, v = np.linalg.svd(x @ basis, full_matrices=False)
-    model = Model(weight, np.ascontiguousarray((basis @ v.T)[:, :rank], np.float32), None, labels)
-    model.vectors = model.place(counts)
-    return model
+    projection = np.ascontiguousarray((basis @ v.T)[:, :rank], np.float32)
+    return Model(weight, projection, scale(x @ projection), labels)
 
 
 def cross_validated(counts, labels, folds, cut: float = CUT) -> float:
@@ -149,9 +159,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
     rows = chosen.select("_id", "_quality", "text").mapInArrow(run, "_id bigint, _quality int, counts binary")
     rows = rows.dropDuplicates(["_id", "_quality"]).toArrow()  # at most 2 * most rows of WIDTH numbers
-    order = sorted(range(rows.num_rows), key=lambda k: (rows["_id"][k].as_py(), rows["_quality"][k].as_py()))
-    counts = np.array([np.frombuffer(rows["counts"][k].as_py(), np.float32) for k in order], np.float32).reshape(-1, WIDTH)
-    return fit(counts, [rows["_quality"][k].as_py() for k in order])
+    ids, marks = rows["_id"].to_pylist(), rows["_quality"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], marks[k]))
+
+    def matrix():
+        nonlocal rows
+        place, counts = {k: n for n, k in enumerate(order)}, np.empty((len(order), WIDTH), np.float32)
+        for k, raw in enumerate(x for part in rows["counts"].chunks for x in part):
+            counts[place[k]] = np.frombuffer(raw.as_buffer(), np.float32)
+        rows = None
+        return counts
+
+    return fit(matrix(), [marks[k] for k in order])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

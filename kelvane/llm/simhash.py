@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sized_batches, stored
@@ -45,7 +45,7 @@ HOT = 16_384
 WIDTH, SIMILAR = 5, 0.8
 #: BANDS keys of ROWS min-hashes each: a pair at SIMILAR shares none with probability (1 - 0.8 ** 6) ** 32 = 0.00006.
 BANDS, ROWS = 32, 6
-#: Bits of the bitmap of lines that are candidates.
+#: Bits of the bitmap that marks the keys of few rows, so that the others needn't be shuffled.
 MARKS = 1 << 26
 
 
@@ -264,7 +264,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        edges = stored(star(star(edges, True), False), "stars")
+        edges = stored(star(edges, True), "stars")  # else the next star's plan holds this one several times
+        edges = stored(star(edges, False), "stars")
         after = state(edges)
         if after == before:
             break
@@ -317,24 +318,44 @@ def line_hash(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), SEED + 1)
 
 
+def marks(hashes: DataFrame) -> DataFrame:
+    """A bitmap of MARKS bits, one for each value of the only column (64-bit hashes): _part counts from 1, _bits are of 32,768 places each, MARKS / 8 bytes in all at most."""
+    at = hashes.toDF("at").select(F.expr(f"(at & {MARKS - 1}) + 1").alias("at"))  # Spark's buckets count from 1
+    return at.groupBy(F.expr("bitmap_bucket_number(at)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits"))
+
+
+def by_marks(df: DataFrame, value: Column, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose value has its bit in the bitmap, all other rows); df isn't shuffled.
+
+    The first holds all rows whose value was marked and, of n marked values, n / MARKS of the others; an exact join may follow.
+    """
+    pieces = parts.select("_part", F.posexplode(F.expr("transform(sequence(0, 7), k -> substring(_bits, 512 * k + 1, 512))")).alias("_k", "_bits"))  # a row of df copies one
+    pieces = pieces.select((8 * (F.col("_part") - 1) + F.col("_k")).alias("_piece"), "_bits").where(F.translate(F.hex("_bits"), "0", "") != "")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    placed = df.select(*cols, value.bitwiseAND(F.lit(MARKS - 1)).alias("_at"))
+    placed = placed.join(F.broadcast(pieces), F.shiftright("_at", 12) == F.col("_piece"), "left")
+    bit = F.expr("getbit(conv(hex(substring(_bits, int(shiftright(_at, 3) & 511) + 1, 1)), 16, 10)::bigint, int(_at & 7))")
+    hit = F.coalesce(bit, F.lit(0)) == 1
+    return placed.where(hit).select(*cols), placed.where(~hit).select(*cols)
+
+
 def shingle_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """line, fp and shingles (sorted 64-bit hashes) of the texts whose line is in lines, and of a few others: a bitmap of MARKS bits is broadcast."""
-    place = F.expr(f"(line & {MARKS - 1}) + 1")  # Spark's buckets count from 1
-    parts = lines.select(place.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
-    sent = docs.sparkSession.sparkContext.broadcast({r["part"]: bytes(r["bits"]) for r in parts.toLocalIterator()})  # MARKS / 8 bytes at most
+    found = marks(lines).collect()  # one job, however many partitions
+    sent = docs.sparkSession.sparkContext.broadcast({r["_part"]: bytes(r["_bits"]) for r in found})
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        marks = sent.value
+        held = sent.value
         for b in batches:
             out = []
             for t in b.column("text").to_pylist():
                 words = words_of(t)
                 line = line_hash(words)
                 at = line & (MARKS - 1)
-                bits, k = marks.get(at // 32_768 + 1) if len(words) > WIDTH else None, at % 32_768
+                bits, k = held.get(at // 32_768 + 1) if len(words) > WIDTH else None, at % 32_768
                 if bits and bits[k // 8] >> k % 8 & 1:
                     out.append((line, majority(shingle_hashes(words, 3)), np.unique(shingle_hashes(words, WIDTH)).tobytes()))
             longs = [pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64)) for k in (0, 1)]
@@ -371,7 +392,8 @@ def similar_links(docs: DataFrame, found: DataFrame, similar: float = SIMILAR) -
     rows = stored(texts.select("line", F.explode("keys").alias("key")), "band-rows")
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("least"), F.bit_xor(F.xxhash64("line")).alias("all")).where("n > 1")
     kept = stored(held.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key"), "buckets")
-    members = stored(rows.join(kept, "key"), "members")
+    some, _ = by_marks(rows, F.col("key"), marks(kept))  # of all rows only these are shuffled
+    members = stored(some.join(kept, "key"), "members")
     sets = shingle_sets(docs, members.select("line").distinct()).groupBy("line").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = members.join(sets, "line").select("key", "fp", "shingles").repartition(n, "key").sortWithinPartitions("key")
@@ -434,16 +456,19 @@ def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame
     kept = stored(kept, "kept")
     gone = rows.join(kept.where("n > 1"), "root").where(~(F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("th") == F.col("_kept_text"))))
     gone = stored(gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_text")).distinct(), "gone")
-    same = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["_gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["_gone_text"])
-    out = docs.join(gone, same(gone), "left_anti")
     again = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = stored(again.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_text")), "repeated")
+    own_id, own_text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    same = own_id.eqNullSafe(F.col("_gone_id")) & (own_text == F.col("_gone_text"))
+    # only rows that may be in gone or again meet them; the texts of all others are not shuffled
+    doubtful, rest = by_marks(docs, F.xxhash64(own_id, own_text), marks(gone.union(again).select(F.xxhash64("_gone_id", "_gone_text"))))
+    out = doubtful.join(gone, same, "left_anti")
     if again.isEmpty():
-        return out
+        return rest.unionByName(out)
     # rows that are equal in id and text: one of each stays
-    once = out.join(again, same(again), "left_anti")
-    repeated = out.join(again, same(again), "left_semi").withColumns({"_id_": F.col("doc_id").cast("long"), "_th_": F.xxhash64(F.col("text").cast("string"))})
-    return once.unionByName(repeated.dropDuplicates(["_id_", "_th_"]).drop("_id_", "_th_"))
+    once = out.join(again, same, "left_anti")
+    repeated = out.join(again, same, "left_semi").withColumns({"_id_": own_id, "_th_": own_text})
+    return rest.unionByName(once).unionByName(repeated.dropDuplicates(["_id_", "_th_"]).drop("_id_", "_th_"))
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
