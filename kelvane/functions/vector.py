@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .nearest import best_of_cell
 
 
 def _literal(v) -> Column:
@@ -46,71 +49,44 @@ def near(df: DataFrame, column: str, query, k: int, metric: str = "l2", where: C
     return found.orderBy("vec_distance", *([tie] if tie else [])).limit(k)
 
 
+BLOCK = 32 << 20  # bytes of a block of queries: their vectors twice, and what is kept of their best k
+GROUP = 64 << 20  # bytes of the base rows that a block of queries meets in one task
+WORK = 1 << 24  # pairs that are worth a task
+
+
 def knn_join(queries: DataFrame, base: DataFrame, query_id: str, base_id: str, column: str, k: int, metric: str = "l2", chunk: int = 4096) -> DataFrame:
-    """The k nearest rows of base for each query: query_id, base_id, vec_distance, rank.
+    """The k nearest rows of base for each query: query_id, base_id, vec_distance, rank. At most `chunk` queries are compared at once.
 
-    Queries travel in blocks of `chunk` beside the base rows; each block keeps its best k for each task
-    before anything is shuffled, so no pair beyond k for each query and task leaves a task.
+    Blocks of queries and groups of base rows make a grid, a task for each cell: it keeps the best k of its block while its base
+    rows stream past (`nearest`), so its memory is bounded by BLOCK, GROUP and Arrow's batches however large the tables are. Only
+    counts reach the driver. Comparing all pairs is quadratic: base is shuffled once a block, queries once a group.
     """
-    spark = base.sparkSession
-    rows = queries.select(F.col(query_id).alias("_q"), F.col(column).alias("_v")).where("_v is not null")
-    kind = queries.schema[query_id].dataType
-    out, block = None, []
-
-    def passed(block):
-        part = _block_best(base, base_id, column, block, k, metric, spark, kind)
-        return part if out is None else out.union(part)
-
-    for r in rows.toLocalIterator():
-        block.append((r["_q"], [float(x) for x in r["_v"]]))
-        if len(block) == chunk:
-            out, block = passed(block), []
-    if block or out is None:
-        out = passed(block)
-    order = Window.partitionBy("query_id").orderBy("vec_distance", "base_id")
-    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("query_id").alias(query_id), F.col("base_id").alias(f"near_{base_id}"), "vec_distance", F.col("rank").cast("long").alias("rank"))
-
-
-def _block_best(base, base_id, column, block, k, metric, spark, kind):
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("base_id", base.schema[base_id].dataType), T.StructField("vec_distance", T.DoubleType())])
-    sent = spark.sparkContext.broadcast(block)  # at most `chunk` vectors
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        if not sent.value:
-            return
-        names, q = [r[0] for r in sent.value], np.array([r[1] for r in sent.value])
-        best: list[tuple[np.ndarray, np.ndarray]] | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array([np.asarray(v, np.float64) for v in pdf["_v"]])
-            dots = q @ x.T
-            if metric == "l2":
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * dots, 0))
-            else:
-                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                d = np.where(norms == 0, 1.0, 1 - dots / np.where(norms == 0, 1, norms))
-            ids = pdf["_id"].to_numpy()
-            mine = []
-            for i in range(len(q)):
-                order = np.lexsort((ids, d[i]))[:k]
-                mine.append((d[i][order], ids[order]))
-            if best is not None:
-                merged = []
-                for (d1, i1), (d2, i2) in zip(best, mine):
-                    dd, ii = np.concatenate([d1, d2]), np.concatenate([i1, i2])
-                    order = np.lexsort((ii, dd))[:k]
-                    merged.append((dd[order], ii[order]))
-                mine = merged
-            best = mine
-        for name, (d, ids) in zip(names, best or []):
-            if len(ids):
-                yield pd.DataFrame({"query_id": [name] * len(ids), "base_id": ids, "vec_distance": d})
-
-    return base.select(F.col(base_id).alias("_id"), F.col(column).alias("_v")).where("_v is not null").mapInPandas(run, schema)
+    real = "array<float>" if all(df.schema[column].dataType.simpleString() == "array<float>" for df in (queries, base)) else "array<double>"
+    q = queries.select(F.col(query_id).alias("_q"), F.col(column).cast(real).alias("_v")).where("_v is not null")
+    b = base.select(F.col(base_id).alias("_b"), F.col(column).cast(real).alias("_v")).where("_v is not null")
+    names = [query_id, f"near_{base_id}", "vec_distance"]
+    kinds = T.StructType([T.StructField(names[0], queries.schema[query_id].dataType), T.StructField(names[1], base.schema[base_id].dataType), T.StructField(names[2], T.DoubleType())])
+    n = F.count(F.lit(1))
+    (many, dim), (rows, _) = q.agg(n, F.coalesce(F.max(F.size("_v")), F.lit(0))).union(base.agg(n, F.lit(0))).collect()
+    k = max(0, min(k, rows))
+    blocks, groups = _grid(many, rows, dim, k, base.sparkSession.sparkContext.defaultParallelism)
+
+    def deal(df, key, n):
+        return df.withColumn("_own", F.pmod(F.xxhash64(key, "_v"), F.lit(n)).cast("int"))
+
+    def each(df, n):
+        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_other"))
+
+    q = each(deal(q, "_q", blocks), groups).select((F.col("_own") * groups + F.col("_other")).alias("_cell"), F.lit(False).alias("_base"), "_q", F.lit(None).cast(kinds[1].dataType).alias("_b"), "_v")
+    b = each(deal(b, "_b", groups), blocks).select((F.col("_other") * groups + F.col("_own")).alias("_cell"), F.lit(True).alias("_base"), F.lit(None).cast(kinds[0].dataType).alias("_q"), "_b", "_v")
+    cells = q.union(b).repartitionById(blocks * groups, "_cell").sortWithinPartitions("_base", "_b").select("_base", "_q", "_b", "_v")
+    out = cells.mapInArrow(lambda batches: best_of_cell(batches, k, metric, chunk, names) if k else (), kinds)
+    order = Window.partitionBy(names[0]).orderBy(names[2], names[1])
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _grid(many: int, rows: int, dim: int, k: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and groups of base rows; as many groups as keep all cores busy, if there is work for them."""
+    blocks = max(1, -(-many * (16 * dim + 72 * k) // BLOCK))
+    wanted = min(-(-many * rows // WORK), 4 * cores)
+    return blocks, max(1, -(-rows * (8 * dim + 64) // GROUP), -(-wanted // blocks))
